@@ -25,32 +25,55 @@ FAMILIES = {"germanic": ("en", "de"), "romance": ("es", "ca", "fr")}
 MACHINES = (("germanic", "romance"), ("en", "de"), ("es", "ca"), ("es", "fr"), ("ca", "fr"))
 DIMENSIONS = 1 << 16
 SAMPLE = 300
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-END = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|<[^<>]*>|(?<=[.!?…])(?=<)")
+WORD = re.compile(r"[^\W\d_]+")
+END = re.compile(r"[.!?…]+[\"'”»)\]]*\s+")
+END_OR_TAG = re.compile(END.pattern + r"|<[^<>]*>")
 LINE = re.compile(r"[\r\n]+")
+#: The first 256 characters in lower case, all but letters as blanks.
+LOWER = "".join(c.lower() if c.isalpha() else " " for c in map(chr, range(256))).encode("latin-1", "replace")
 CHUNK = 12
 SHARE = 0.22
 SURE = 1.0
 
 
-def features(word: str) -> list[int]:
-    """Places of a word's character sequences up to three long, ends marked, and of the word itself."""
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, sizes): the places of each word's character sequences up to three long, ends marked, and of the word itself."""
     from zlib import crc32
 
-    w = f"<{word}>"
-    return [crc32(g.encode()) & (DIMENSIONS - 1) for g in [w, *(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1))]]
+    marked = [f"<{w[:40]}>" for w in words]
+    sizes = np.array([len(w) for w in marked])
+    whole = np.array([crc32(w.encode()) for w in marked], np.uint32)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    last = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(len(codes))
+    owner = np.repeat(np.arange(len(words)), sizes)
+    places, owners = [whole], [np.arange(len(words))]
+    gram = np.zeros(len(codes), np.uint32)
+    for n in (1, 2, 3):
+        # a sequence starts where n characters of the same word are left
+        gram = gram[: len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1 :] * np.uint32(0x9E3779B1)
+        inside = (at + n <= last)[: len(gram)]
+        mixed = gram[inside] ^ (gram[inside] >> np.uint32(15))
+        places.append(mixed * np.uint32(0x85EBCA6B))
+        owners.append(owner[: len(gram)][inside])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return (np.concatenate(places)[order] >> np.uint32(8)).astype(np.int64) & (DIMENSIONS - 1), np.bincount(owners, minlength=len(words))
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    try:
+        return text.encode("latin-1").translate(LOWER).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
 
 
 def segments(text: str) -> list[str]:
     """Sentences; what has no sentence ends is cut at its lines or, if these are no sentences either, every CHUNK words."""
     out = []
-    for s in END.split(text):
-        if s is None or len(s) < 12 * CHUNK:
-            out.append(s or "")
+    for s in (END_OR_TAG if "<" in text else END).split(text):
+        if len(s) < 12 * CHUNK:
+            out.append(s)
             continue
         lines = [x for x in LINE.split(s) if x.strip()]
         if len(lines) > 1 and len(s.split()) >= 4 * len(lines):
@@ -58,7 +81,7 @@ def segments(text: str) -> list[str]:
         else:
             ws = s.split()
             out += [" ".join(ws[i : i + CHUNK]) for i in range(0, len(ws), CHUNK)]
-    return [s for s in out if s.strip()]
+    return out
 
 
 class Plain:
@@ -109,16 +132,18 @@ class Model:
         return Model, (self.weights, self.slopes)
 
     def word_rows(self, words: list[str]) -> list[int]:
-        out, known = [], self.rows
-        for w in words:
-            r = known.get(w)
-            if r is None:
-                r = known[w] = len(known)
-                if r == len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[r] = self.weights[:, features(w[:40])].sum(axis=1)
-            out.append(r)
-        return out
+        known = self.rows
+        new = [w for w in set(words) if w not in known]
+        if new:
+            start = len(known)
+            known.update(zip(new, range(start, start + len(new)), strict=True))
+            while len(known) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            places, sizes = features(new)
+            firsts = np.cumsum(sizes) - sizes
+            for m in range(len(MACHINES)):
+                self.scores[start : start + len(new), m] = np.add.reduceat(self.weights[m][places], firsts)
+        return [known[w] for w in words]
 
     def trim(self) -> None:
         """Forget the words met so far once they are many."""
@@ -168,18 +193,15 @@ def fit(df: DataFrame, text: str, label: str, row: str, sample: int = SAMPLE) ->
     rows.sort(key=lambda x: x["r"])
     plain = Plain(table)
     index, values, lists, labels = [], [], [], []
-    seen: dict[str, list[int]] = {}
     for r in rows:
         for s in segments(plain(r["t"])):
             ws = words_of(s)
-            if not ws:
-                continue
-            fs = [f for w in ws for f in (seen.get(w) or seen.setdefault(w, features(w[:40])))]
-            i, n = np.unique(np.array(fs), return_counts=True)
-            index.append(i)
-            values.append(n / np.linalg.norm(n))
-            lists.append(ws)
-            labels.append(r["c"])
+            if ws:
+                i, n = np.unique(features(ws)[0], return_counts=True)
+                index.append(i)
+                values.append(n / np.linalg.norm(n))
+                lists.append(ws)
+                labels.append(r["c"])
     labels = np.array(labels)
     keep = np.ones(len(labels), bool)
     for _ in range(2):

@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import p2_overlap, p5_confusables, p7_groups
+from opinara.llm import p1_tokens, p2_overlap, p3_language, p5_confusables, p7_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_tokens.token_budget(_table(spark, sf_dir, "dataset"))
+
+
+def p1_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_tokens.totals(*p1_tokens.document_tokens(_table(spark, sf_dir, "dataset"), "text", ["row_no"]), ["row_no"])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_overlap.overlap_pairs(*p2_overlap.split_overlap(_table(spark, sf_dir, "dataset")))
 
@@ -23,6 +31,15 @@ def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_overlap.overlap_report(rows, *p2_overlap.split_overlap(rows))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_language.wrong_labels(p3_language.document_languages(_table(spark, sf_dir, "dataset")))
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p3_language.document_languages(_table(spark, sf_dir, "dataset"))
+    return found.select("row_no", F.explode("segments").alias("s")).select("row_no", "s.*")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for table, key in (("dataset", "row_no"), ("synthetic_v1", "id")):
@@ -50,7 +67,7 @@ def p7_groups_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_overlap_report, p5_found, p5_skeleton_groups, p7_found, p7_groups_of_keys)
+    own = (p1_token_budget, p1_document_tokens, p2_found, p2_overlap_report, p3_found, p3_segments, p5_found, p5_skeleton_groups, p7_found, p7_groups_of_keys)
     return {f.__name__: f for f in own}
 
 
