@@ -121,12 +121,12 @@ def _side(machine: tuple[str, str], language: str) -> int:
 
 
 class Model:
-    """Weights of the machines, and what turns their margins into confidences."""
+    """Weights of the machines on the places of features, and what turns their margins into confidences."""
 
     def __init__(self, weights: np.ndarray, slopes: np.ndarray) -> None:
         self.weights, self.slopes = weights, slopes
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(MACHINES)))
+        self.scores = np.zeros((1024, len(weights)))
 
     def __reduce__(self):
         return Model, (self.weights, self.slopes)
@@ -141,7 +141,7 @@ class Model:
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             places, sizes = features(new)
             firsts = np.cumsum(sizes) - sizes
-            for m in range(len(MACHINES)):
+            for m in range(len(self.weights)):
                 self.scores[start : start + len(new), m] = np.add.reduceat(self.weights[m][places], firsts)
         return [known[w] for w in words]
 
@@ -154,7 +154,7 @@ class Model:
         """Sum of the words' weights, for each list of words and machine."""
         sizes = np.array([len(x) for x in word_lists])
         flat = self.word_rows([w for x in word_lists for w in x])
-        cum = np.concatenate([np.zeros((1, len(MACHINES))), np.cumsum(self.scores[flat], axis=0)]) if flat else np.zeros((1, len(MACHINES)))
+        cum = np.concatenate([np.zeros((1, len(self.weights))), np.cumsum(self.scores[flat], axis=0)]) if flat else np.zeros((1, len(self.weights)))
         ends = np.cumsum(sizes)
         return cum[ends] - cum[ends - sizes]
 
@@ -179,8 +179,11 @@ def confidence(sums: np.ndarray, language: np.ndarray, counts: np.ndarray, slope
     return p
 
 
-def fit(df: DataFrame, text: str, label: str, row: str, sample: int = SAMPLE) -> Model:
-    """The machines, fitted on at most about ``sample`` labelled rows of each language; a language without rows is never chosen."""
+def fit(df: DataFrame, text: str, label: str, row: str, sample: int = SAMPLE, seeds: dict[str, str] | None = None) -> Model:
+    """The machines, fitted on at most about ``sample`` labelled rows of each language and on the sentences in seeds.
+
+    A language without rows and seeds is never chosen.
+    """
     table = canon.look_alikes(df.sparkSession)
     code = language_code(F.col(label))
     counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).select(code.alias("c"), "n").groupBy("c").agg(F.sum("n")).collect()}
@@ -191,6 +194,7 @@ def fit(df: DataFrame, text: str, label: str, row: str, sample: int = SAMPLE) ->
             take = take | ((code == x) & (part < min(1.0, sample / counts[x])))
     rows = df.where(F.col(text).isNotNull() & take).select(code.alias("c"), F.substring(F.col(text), 1, 100_000).alias("t"), F.col(row).alias("r")).toArrow().to_pylist()
     rows.sort(key=lambda x: x["r"])
+    rows += [{"c": c, "t": t} for c, t in (seeds or {}).items()]
     plain = Plain(table)
     index, values, lists, labels = [], [], [], []
     for r in rows:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import p1_tokens, p2_overlap, p3_language, p5_confusables, p7_groups
+from opinara.llm import p1_tokens, p2_overlap, p3_language, p4_pairs, p5_confusables, p6_sample, p7_groups, p8_packing, p9_mixing, p10_reading
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_no", F.explode("segments").alias("s")).select("row_no", "s.*")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pairs.first_defect(p4_pairs.defects(_table(spark, sf_dir, "thinking_sanity")))
+
+
+def p4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pairs.defects(_table(spark, sf_dir, "thinking_sanity"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for table, key in (("dataset", "row_no"), ("synthetic_v1", "id")):
@@ -53,6 +61,22 @@ def p5_skeleton_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_confusables.skeleton_groups(texts, "text", [])
 
 
+def _quotas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return p6_sample.quota_sample(_table(spark, sf_dir, "generation_plan"), _table(spark, sf_dir, "plan_quota"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quotas(spark, sf_dir)[1].where("short").select("quota_id")
+
+
+def p6_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quotas(spark, sf_dir)[0]
+
+
+def p6_quota_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quotas(spark, sf_dir)[1]
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = p7_groups.group_pairs(p7_groups.review_groups(_table(spark, sf_dir, "synthetic_v1")))
     plans = p7_groups.group_pairs(p7_groups.plan_groups(_table(spark, sf_dir, "generation_plan")))
@@ -66,8 +90,32 @@ def p7_groups_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.unionByName(plans)
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_packing.pack(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "container_spec"))
+
+
+def p8_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_packing.fill_report(p8_packed(spark, sf_dir), _table(spark, sf_dir, "container_spec"))
+
+
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_target"))[0]
+
+
+def p9_mix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_target"))[1]
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_reading.reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_anchor"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_levels(spark, sf_dir).where("level = 'advanced'").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_token_budget, p1_document_tokens, p2_found, p2_overlap_report, p3_found, p3_segments, p5_found, p5_skeleton_groups, p7_found, p7_groups_of_keys)
+    own = (p1_token_budget, p1_document_tokens, p2_found, p2_overlap_report, p3_found, p3_segments, p4_found, p4_rules, p5_found, p5_skeleton_groups, p6_found, p6_sampled, p6_quota_report, p7_found, p7_groups_of_keys, p8_packed, p8_fill_report, p9_mixed, p9_mix_report, p10_found, p10_levels)
     return {f.__name__: f for f in own}
 
 
