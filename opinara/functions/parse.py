@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.functions.schema import ASPECTS, POLARITIES
 
@@ -82,7 +83,7 @@ def read_labels(text: str | None) -> dict[str, str]:
     return {}
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def extract_labels(text: pd.Series) -> pd.Series:
     """Generated text -> label map; empty where nothing can be read."""
     return text.map(read_labels, na_action=None)
@@ -103,7 +104,7 @@ def first_object(text: str | None) -> dict:
     return {}
 
 
-@F.pandas_udf("map<string,array<string>>")
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 def extract_entities(text: pd.Series) -> pd.Series:
     """Generated text -> entity type to names, of the first object."""
     names = lambda v: [str(x) for x in v if x is not None] if isinstance(v, list) else [str(v)]
@@ -121,7 +122,7 @@ def flatten(value: object, prefix: str = "") -> list[str]:
     return [f"{prefix}:{value}"]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def flatten_json(text: pd.Series) -> pd.Series:
     """JSON text -> its flattened leaves; empty where it isn't JSON."""
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out one time however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalize(text: Column) -> Column:
     """Ends stripped, white space collapsed, lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
@@ -28,8 +35,11 @@ def blank_separated(text: Column) -> Column:
 
 def ngrams(text: Column, n: int = 5) -> Column:
     """Set of word n-grams of the normalised text; empty for fewer than n words."""
-    w = words(normalize(text))
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return _once(words(normalize(text)), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -39,10 +49,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def span_supported(span: Column, text: Column) -> Column:
     """The span stands in the text, or four fifths of its words over two characters do; empty spans don't."""
-    s, t = normalize(span), normalize(text)
-    long = F.filter(words(s), lambda w: F.length(w) > 2)
-    hits = F.size(F.filter(long, lambda w: F.contains(t, w)))
-    return F.when(F.coalesce(s, F.lit("")) == "", False).otherwise(F.contains(t, s) | ((F.size(long) > 0) & (hits >= 0.8 * F.size(long))))
+    parts = F.struct(normalize(span).alias("s"), normalize(text).alias("t"))
+
+    def check(x: Column) -> Column:
+        words_hit = lambda long: (F.size(long) > 0) & (F.size(F.filter(long, lambda w: F.contains(x["t"], w))) >= 0.8 * F.size(long))
+        return F.when(F.coalesce(x["s"], F.lit("")) == "", False).otherwise(F.contains(x["t"], x["s"]) | _once(F.filter(words(x["s"]), lambda w: F.length(w) > 2), words_hit))
+
+    return _once(parts, check)
 
 
 def preview(text: Column, n: int = 260) -> Column:

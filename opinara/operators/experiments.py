@@ -67,7 +67,7 @@ def running_best(history: DataFrame, run: str, step: str, first: str, second: st
 
 def trial_ranking(trials: DataFrame, name: str) -> DataFrame:
     """trials with score and rank by it."""
-    return ranked(trials.withColumn("score", F.round(composite(F.col("f1_micro"), F.col("f1_macro")), 4)), [(F.col("score"), True)], name)
+    return ranked(trials.withColumn("score", F.round(composite(F.col("f1_micro"), F.col("f1_macro")), 6)), [(F.col("score"), True)], name)
 
 
 def window_of(rows: DataFrame, order: str, offset: int, limit: int | None) -> DataFrame:

@@ -90,7 +90,7 @@ def q_counts_per_example(spark, d):
 
 _TS = """WITH t AS (SELECT gen_id, text, "language", coalesce(map_entries(gold), []) g, coalesce(map_entries(prediction), []) p, prediction IS NOT NULL has FROM thinking_sanity),
 n AS (SELECT gen_id, "language", len(p) n_pred, len(g) n_gold, len(list_intersect(p, g)) n_ok, has, list_sort(p) = list_sort(g) same FROM t),
-names AS (SELECT DISTINCT gen_id, "language", unnest(list_concat(list_transform(g, x -> x.key), list_transform(p, x -> x.key))) aspect FROM t),
+names AS (SELECT DISTINCT gen_id, "language", unnest(list_concat(list_transform(g, lambda x: x.key), list_transform(p, lambda x: x.key))) aspect FROM t),
 ge AS (SELECT gen_id, e.key aspect, e.value gold FROM (SELECT gen_id, unnest(g) e FROM t)),
 pe AS (SELECT gen_id, e.key aspect, e.value pred FROM (SELECT gen_id, unnest(p) e FROM t)),
 al AS (SELECT names.*, gold, pred FROM names LEFT JOIN ge USING (gen_id, aspect) LEFT JOIN pe USING (gen_id, aspect))"""
@@ -243,7 +243,7 @@ def q_rare_pairs(spark, d):
 _EDGES = [0, 10, 25, 50, 75, 100, 150, 200, 400]
 
 
-@query("SELECT b bin_from, t bin_to, count(n) n FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in zip(_EDGES, _EDGES[1:])) + ") v(b, t) LEFT JOIN (SELECT len(list_filter(regexp_split_to_array(text, '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+'), x -> x <> '')) n FROM dataset WHERE text IS NOT NULL) ON n >= b AND (n < t OR (t = 400 AND n = 400)) GROUP BY 1, 2")
+@query("SELECT b bin_from, t bin_to, count(n) n FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in zip(_EDGES, _EDGES[1:])) + ") v(b, t) LEFT JOIN (SELECT len(list_filter(regexp_split_to_array(text, '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+'), lambda x: x <> '')) n FROM dataset WHERE text IS NOT NULL) ON n >= b AND (n < t OR (t = 400 AND n = 400)) GROUP BY 1, 2")
 def q_length_hist(spark, d):
     rows = _t(spark, d, "dataset").where("text is not null").select(F.size(F.filter(F.split("text", r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"), lambda x: x != "")).alias("n"))
     return profile.histogram(rows, "n", _EDGES)
@@ -315,10 +315,10 @@ def _grams(df, key):
     return df.select(key, text.ngrams(F.col("text")).alias("grams"))
 
 
-_G5 = f"SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) i FROM (SELECT {{k}} id, regexp_extract_all({_NORM}, '{_WORD}') w FROM {{t}}))"
+_G5 = f"SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) i FROM (SELECT KEY id, regexp_extract_all({_NORM}, '{_WORD}') w FROM TABLE_))"
 
 
-@query(f"""WITH c AS ({_G5.format(k='plan_key', t="(SELECT row_number() OVER (ORDER BY id, accepted_at) plan_key, text FROM synthetic_v1)")}), r AS ({_G5.format(k='doc_id', t='documents')}),
+@query(f"""WITH c AS ({_G5.replace('KEY', 'plan_key').replace('TABLE_', '(SELECT row_number() OVER (ORDER BY id, accepted_at) plan_key, text FROM synthetic_v1)')}), r AS ({_G5.replace('KEY', 'doc_id').replace('TABLE_', 'documents')}),
 cn AS (SELECT id, count(*) n FROM c GROUP BY 1), rn AS (SELECT id, count(*) n FROM r GROUP BY 1),
 s AS (SELECT c.id, max(both_ / (cn.n + rn.n - both_)) m FROM (SELECT c.id, r.id rid, count(*)::DOUBLE both_ FROM c JOIN r USING (g) GROUP BY 1, 2) c JOIN cn ON cn.id = c.id JOIN rn ON rn.id = c.rid GROUP BY 1)
 SELECT plan_key, round(coalesce(m, 0), 4) max_sim FROM (SELECT row_number() OVER (ORDER BY id, accepted_at) plan_key FROM synthetic_v1) LEFT JOIN s ON s.id = plan_key""")
@@ -334,8 +334,8 @@ def q_markers(spark, d):
 
 
 @query(f"""WITH t AS (SELECT gen_id, {_NORM} n, regexp_extract_all(lower(raw_generation), '«([^»]*)»', 1)[1] q FROM thinking_sanity),
-u AS (SELECT *, list_filter(regexp_extract_all({_NORM.replace('(text,', '(q,')}, '{_WORD}'), w -> length(w) > 2) l, {_NORM.replace('(text,', '(q,')} s FROM t)
-SELECT gen_id, CASE WHEN coalesce(s, '') = '' THEN false ELSE contains(n, s) OR (len(l) > 0 AND len(list_filter(l, w -> contains(n, w))) >= 0.8 * len(l)) END supported FROM u WHERE n IS NOT NULL""")
+u AS (SELECT *, list_filter(regexp_extract_all({_NORM.replace('(text,', '(q,')}, '{_WORD}'), lambda w: length(w) > 2) l, {_NORM.replace('(text,', '(q,')} s FROM t)
+SELECT gen_id, CASE WHEN coalesce(s, '') = '' THEN false ELSE contains(n, s) OR (len(l) > 0 AND len(list_filter(l, lambda w: contains(n, w))) >= 0.8 * len(l)) END supported FROM u WHERE n IS NOT NULL""")
 def q_span_support(spark, d):
     span = F.try_element_at(F.regexp_extract_all(F.lower("raw_generation"), F.lit("«([^»]*)»"), 1), F.lit(1))
     return _t(spark, d, "thinking_sanity").where("text is not null").select("gen_id", text.span_supported(span, F.col("text")).alias("supported"))
@@ -464,13 +464,6 @@ def q_greedy_acceptance(spark, d):
     return augment.accept_greedily(_grams(rows, "id"), "id", "grams", 0.3)
 
 
-_SEEDS = f"""WITH pl AS (SELECT plan_id, arg_min(struct_pack(l := "language", t := target_gold), planned_at) p FROM generation_plan GROUP BY 1), p AS (SELECT plan_id, p.l l, coalesce(map_entries(p.t), []) t FROM pl WHERE plan_id LIKE '%1'),
-r AS (SELECT row_no, "language" l, coalesce(map_entries(gold), []) g FROM dataset WHERE split = 'devel'),
-s AS (SELECT plan_id, row_no, round(greatest(len(g) + 3.0 * len(list_intersect(list_transform(t, x -> x.key), list_transform(g, x -> x.key))) + 2.0 * len(list_intersect(t, g)) + (len(list_filter(g, x -> x.value IN ('neutral', 'conflict'))) > 0)::INT - 0.2 * abs(len(t) - len(g)), 0.01)::DOUBLE, 4) relevance FROM p JOIN r USING (l)),
-n AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY relevance DESC, row_no) n FROM s), z AS (SELECT *, round(-ln(greatest({_u('plan_id', 'row_no::VARCHAR')}, 1e-12)) / relevance, 9) e FROM n WHERE n <= 80)
-SELECT plan_id, row_no, relevance, r AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY e, row_no)::INT r FROM z) WHERE r <= 3"""
-
-
 @query()
 def q_style_seeds(spark, d):
     plans = _t(spark, d, "generation_plan").groupBy("plan_id").agg(F.min_by(F.struct(F.col("language").alias("l"), F.col("target_gold").alias("t")), "planned_at").alias("p")).select("plan_id", F.col("p.l").alias("language"), F.coalesce("p.t", F.create_map().cast("map<string,string>")).alias("target"))
@@ -481,7 +474,7 @@ def q_style_seeds(spark, d):
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
-_DOT = "list_dot_product(list_transform(a.embedding, x -> x::DOUBLE), list_transform(b.embedding, x -> x::DOUBLE))"
+_DOT = "list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE))"
 _NEAR = f"""SELECT a.vec_id query_id, b.vec_id vec_id, round({_DOT}, 6) sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 6) DESC, b.vec_id)::INT AS "rank" FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0"""
 
 
@@ -588,7 +581,7 @@ def q_flatten_json(spark, d):
     return _t(spark, d, "events").select("event_id", F.explode(parse.flatten_json("props")).alias("leaf"))
 
 
-@query("SELECT gen_id, '{' || coalesce(list_aggregate(list_transform(list_sort(map_entries(gold)), e -> '\"' || e.key || '\":\"' || e.value || '\"'), 'string_agg', ','), '') || '}' canonical FROM thinking_sanity WHERE gold IS NOT NULL")
+@query("SELECT gen_id, '{' || coalesce(list_aggregate(list_transform(list_sort(map_entries(gold)), lambda e: '\"' || e.key || '\":\"' || e.value || '\"'), 'string_agg', ','), '') || '}' canonical FROM thinking_sanity WHERE gold IS NOT NULL")
 def q_canonical_json(spark, d):
     return _t(spark, d, "thinking_sanity").where("gold is not null").select("gen_id", text.canonical_json(F.col("gold")).alias("canonical"))
 
@@ -647,7 +640,7 @@ def q_run_rank(spark, d):
     return experiments.ranked(_runs(spark, d), [(F.col(c), True) for c in ("f1_micro", "f1_macro", "precision")], "name")
 
 
-@query(f"{_RUNS}, s AS (SELECT *, round(0.75 * f1_micro + 0.25 * f1_macro, 4) score FROM runs) SELECT *, row_number() OVER (ORDER BY score DESC, name)::INT AS \"rank\" FROM s")
+@query(f"{_RUNS}, s AS (SELECT *, round(0.75 * f1_micro + 0.25 * f1_macro, 6) score FROM runs) SELECT *, row_number() OVER (ORDER BY score DESC, name)::INT AS \"rank\" FROM s")
 def q_trial_rank(spark, d):
     return experiments.trial_ranking(_runs(spark, d), "name")
 
@@ -667,7 +660,7 @@ def q_decision_rule(spark, d):
     return experiments.decide(_runs(spark, d), "name")
 
 
-@query("""SELECT event_type, event_id, "value", length(props) second, max("value") OVER w best_first, first_value(event_id) OVER (PARTITION BY event_type, g ORDER BY event_id) best_step, event_id = first_value(event_id) OVER (PARTITION BY event_type, g ORDER BY event_id) improved
+@query("""SELECT event_type, event_id, "value", length(props) AS "second", max("value") OVER w best_first, first_value(event_id) OVER (PARTITION BY event_type, g ORDER BY event_id) best_step, event_id = first_value(event_id) OVER (PARTITION BY event_type, g ORDER BY event_id) improved
 FROM (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY event_id) g FROM (SELECT *, CASE WHEN (round("value" / 1e-9), round(length(props) / 1e-9)) > coalesce(lag(m) OVER (PARTITION BY event_type ORDER BY event_id), (-1e300, -1e300)) THEN 1 ELSE 0 END new FROM (SELECT *, max((round("value" / 1e-9), round(length(props) / 1e-9))) OVER (PARTITION BY event_type ORDER BY event_id) m FROM events)))
 WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""")
 def q_running_best(spark, d):
@@ -696,7 +689,7 @@ def q_middle_and_longest(spark, d):
     return experiments.middle_and_longest(_t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
 
 
-@query(f"{_TS} SELECT gen_id, substr({_PLAIN}, 1, 120) preview FROM n JOIN t USING (gen_id) WHERE NOT same AND has ORDER BY gen_id LIMIT 3")
+@query(f"{_TS} SELECT gen_id, substr({_PLAIN}, 1, 120) preview FROM n JOIN t USING (gen_id) WHERE NOT same AND n.has ORDER BY gen_id LIMIT 3")
 def q_first_mismatches(spark, d):
     rows = _t(spark, d, "thinking_sanity").where(F.col("prediction").isNotNull() & ~metrics.same_map(F.col("prediction"), F.col("gold")))
     return rows.select("gen_id", text.preview(F.col("text"), 120).alias("preview")).orderBy("gen_id").limit(3)
@@ -713,7 +706,7 @@ def q_messages(spark, d):
     return _t(spark, d, "documents").select("doc_id", m.alias("m")).select("doc_id", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("user"))
 
 
-@query("SELECT gen_id, 4::INT n, text q, CASE WHEN gold IS NULL THEN NULL ELSE '{' || coalesce(list_aggregate(list_transform(list_sort(map_entries(gold)), e -> '\"' || e.key || '\":\"' || e.value || '\"'), 'string_agg', ','), '') || '}' END a FROM thinking_sanity")
+@query("SELECT gen_id, 4::INT n, text q, CASE WHEN gold IS NULL THEN NULL ELSE '{' || coalesce(list_aggregate(list_transform(list_sort(map_entries(gold)), lambda e: '\"' || e.key || '\":\"' || e.value || '\"'), 'string_agg', ','), '') || '}' END a FROM thinking_sanity")
 def q_fewshot_messages(spark, d):
     m = features.fewshot_messages(F.lit("s"), F.array(F.struct("text", "gold")), F.col("text"))
     return _t(spark, d, "thinking_sanity").select("gen_id", m.alias("m")).select("gen_id", F.size("m").alias("n"), F.col("m")[1]["content"].alias("q"), F.col("m")[2]["content"].alias("a"))
@@ -724,7 +717,7 @@ def _ids(spark, d):
     return _t(spark, d, "documents").where("text is not null").select("doc_id", features.word_ids(F.col("text")).alias("ids")).select("doc_id", "ids", F.slice("ids", 1, n).alias("prompt"))
 
 
-_IDS = f"WITH t AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), x -> x <> '')) n FROM documents WHERE text IS NOT NULL)"
+_IDS = f"WITH t AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '')) n FROM documents WHERE text IS NOT NULL)"
 
 
 @query(f"{_IDS} SELECT doc_id, n::INT full_length, least(n, 100)::INT kept, least(n - n // 2, least(n, 100))::INT trainable_tokens, n > 100 truncated FROM t")
