@@ -160,21 +160,19 @@ def _budget(tau: float, n: Column) -> Column:
     return F.floor(n * ((1 - tau) / (1 + tau)) + 1e-9)
 
 
-def _ring(tau: float, segments: int = 8, chain: int = 3) -> Column:
-    """Some chain of ``chain`` consecutive segments of the parity image keeps every cumulative difference within its proportional budget."""
-    width = 128 // segments
-    half = segments // 2
+def _ring(tau: float) -> Column:
+    """Two neighbouring segments of the parity image, of four in a ring, keep their cumulative differences within the proportional budgets.
+
+    Of sets within the distance n, some segment differs in at most n / 4 places and, with the one after it, in at
+    most 2 n / 4. The second sum is only formed where the first one passes.
+    """
     x = [F.col("x.b1").bitwiseXOR(F.col("y.b1")), F.col("x.b2").bitwiseXOR(F.col("y.b2"))]
-    d = [F.bit_count(F.shiftrightunsigned(x[i // half], (i % half) * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(segments)]
+    d = [F.bit_count(h) for w in x for h in (F.shiftrightunsigned(w, 32), F.shiftleft(w, 32))]
     total = _budget(tau, F.col("x.size") + F.col("y.size"))
-    any_start = F.lit(False)
-    for i in range(segments):
-        ok, run = F.lit(True), F.lit(0)
-        for length in range(1, chain + 1):
-            run = run + d[(i + length - 1) % segments]
-            ok = ok & (run * segments <= total * length)
-        any_start = any_start | ok
-    return any_start
+    ok = F.lit(False)
+    for i in range(4):
+        ok = ok | ((d[i] * 4 <= total) & ((d[i] + d[(i + 1) % 4]) * 2 <= total))
+    return ok
 
 
 def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, tau: float, min_total: int = 0, across: bool = False, hot: int = 1024, ring: bool = True, few: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
