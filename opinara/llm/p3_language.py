@@ -152,7 +152,7 @@ class Model:
 
     def sums(self, word_lists: list[list[str]]) -> np.ndarray:
         """Sum of the words' weights, for each list of words and machine."""
-        sizes = np.array([len(x) for x in word_lists])
+        sizes = np.array([len(x) for x in word_lists], np.int64)
         flat = self.word_rows([w for x in word_lists for w in x])
         cum = np.concatenate([np.zeros((1, len(self.weights))), np.cumsum(self.scores[flat], axis=0)]) if flat else np.zeros((1, len(self.weights)))
         ends = np.cumsum(sizes)
