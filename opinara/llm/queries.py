@@ -120,4 +120,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the quotas can be said in SQL; the other operators are tested against brute force, exact round trips or held-out labels."""
+    return {
+        "p6_found": """
+WITH u AS (SELECT DISTINCT plan_id, lower(trim(bucket)) b, lower(trim("language")) l, cardinality(target_gold) g FROM generation_plan WHERE plan_id IS NOT NULL),
+t AS (SELECT count(DISTINCT plan_id) // 4 n FROM u), c AS (SELECT b, l, g, count(*) have FROM u WHERE b IS NOT NULL AND l IS NOT NULL AND g IS NOT NULL GROUP BY 1, 2, 3)
+SELECT quota_id FROM plan_quota CROSS JOIN t LEFT JOIN c ON b = lower(trim(bucket)) AND l = lower(trim("language")) AND g = gold_labels
+WHERE coalesce(have, 0) < min_rows OR coalesce(have, 0) < target_share * n - 1e-9""",
+    }
