@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,23 +83,84 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.orderBy(digest, key)))
 
 
-def style_seeds(plans: DataFrame, pool: DataFrame, plan: str, key: str, k: int = 3, keep: int = 80) -> DataFrame:
+#: Classes of rows, and of plans, that one task of style_seeds compares at a time.
+ROW_CLASSES, PLAN_CLASSES = 8192, 2048
+
+
+def style_seeds(plans: DataFrame, pool: DataFrame, plan: str, key: str, k: int = 3, keep: int = 80, fallback: bool = False) -> DataFrame:
     """plan, key, relevance, rank: seeds of each plan by how well a row fits, without the counter of earlier uses.
 
     plans has plan, language, target (map); pool has key, language, gold (map), score. Plans and rows meet on the
     language; relevance is score + 3 for each shared aspect + 2 for each shared pair + 1 for a neutral or conflict
-    label - 0.2 for each label that differs in number, at least 0.01.
+    label - 0.2 for each label that differs in number, at least 0.01. With fallback, a missing language is a language
+    too, and plans whose language has fewer than k rows choose among all rows.
+
+    What fits depends on gold and score alone, so classes of plans meet classes of rows, in blocks. The first keep rows
+    by relevance and key stand in the first keep classes by relevance and least key; a block passes on no others.
     """
-    p, r = plans.alias("p"), pool.alias("r")
-    shared = F.size(F.array_intersect(F.map_keys("p.target"), F.map_keys("r.gold")))
-    pairs = F.size(F.array_intersect(F.map_entries("p.target"), F.map_entries("r.gold")))
-    odd = F.exists(F.map_values("r.gold"), lambda v: v.isin("neutral", "conflict")).cast("int")
-    fit = F.greatest(F.col("r.score") + 3.0 * shared + 2.0 * pairs + odd - 0.2 * F.abs(F.size("p.target") - F.size("r.gold")), F.lit(0.01))
-    scored = p.join(r, F.col("p.language") == F.col("r.language")).select(F.col(f"p.{plan}").alias(plan), F.col(f"r.{key}").alias(key), F.round(fit, 4).alias("relevance"))
-    near = scored.withColumn("n", F.row_number().over(Window.partitionBy(plan).orderBy(F.desc("relevance"), key))).where(F.col("n") <= keep)
-    u = F.greatest(md5_uniform(F.col(plan), F.col(key)), F.lit(1e-12))
-    drawn = near.withColumn("e", F.round(-F.log(u) / F.col("relevance"), 9))
-    return drawn.withColumn("rank", F.row_number().over(Window.partitionBy(plan).orderBy("e", key))).where(F.col("rank") <= k).select(plan, key, "relevance", "rank")
+    tag = F.coalesce(F.concat(F.lit("="), "language"), F.lit("null"))
+    p, r = plans.withColumn("tag", tag), pool.withColumn("tag", tag)
+    if fallback:
+        enough = r.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("tag", F.lit(True).alias("enough"))
+        p = p.join(F.broadcast(enough), "tag", "left").withColumn("tag", F.when(F.col("enough"), F.col("tag")).otherwise("all"))
+        r = r.withColumn("tag", F.explode(F.array("tag", F.lit("all"))))
+    else:
+        p, r = p.where("language is not null"), r.where("language is not null")
+    p = p.select(F.col(plan).alias("plan"), "tag", F.array_sort(F.map_entries("target")).alias("t"))
+    r = r.select(F.col(key).alias("key"), "tag", F.array_sort(F.map_entries("gold")).alias("g"), F.col("score").cast("double").alias("score"))
+    same = Window.partitionBy("tag", "g", "score").orderBy("key")
+    members = r.withColumns({"n": F.row_number().over(same), "first": F.first("key").over(same)}).where(F.col("n") <= keep)
+    rows, kinds = members.where("n = 1").select("tag", "first", "g", "score"), p.groupBy("tag", "t").agg(F.min("plan").alias("kind"))
+    row_blocks, plan_blocks = -(-rows.count() // ROW_CLASSES) or 1, -(-kinds.count() // PLAN_CLASSES) or 1
+
+    def blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumns({own: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+
+    def sides(entries: str) -> list[Column]:
+        return [F.transform(entries, lambda e: e["key"]).alias("aspects"), F.transform(entries, lambda e: F.concat(e["key"], F.lit("\0"), F.coalesce(e["value"], F.lit("")))).alias("pairs")]
+
+    odd = F.exists("g", lambda e: F.coalesce(e["value"].isin("neutral", "conflict"), F.lit(False))).cast("double")
+    left = blocks(kinds.select("tag", "kind", *sides("t")), "pb", plan_blocks, "rb", row_blocks)
+    right = blocks(rows.select("tag", "first", (F.col("score") + odd).alias("base"), *sides("g")), "rb", row_blocks, "pb", plan_blocks)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        import numpy as np
+
+        b = b.sort_by("first")
+        asked, held = ([x + y for x, y in zip(t["aspects"].to_pylist(), t["pairs"].to_pylist(), strict=True)] for t in (a, b))
+        index = {v: j for j, v in enumerate({v for x in asked for v in x})}
+
+        def hot(labels: list[list[str]], shared: int, pair: int) -> np.ndarray:
+            out = np.zeros((len(labels), len(index)), np.float32)
+            for i, x in enumerate(labels):
+                for v in x:
+                    if v in index:
+                        out[i, index[v]] = pair if "\0" in v else shared
+            return out
+
+        of, ours = hot(asked, 3, 2), hot(held, 1, 1).T.copy()
+        many_a, many_b = (np.array([len(x) / 2 for x in side]) for side in (asked, held))
+        base, place, n = b["base"].to_numpy(), np.arange(len(b), 0, -1), min(keep, len(b))
+        at, of_row, fits = [], [], []
+        for i in range(0, len(a) if n else 0, 256):
+            fit = of[i : i + 256] @ ours + base - 0.2 * np.abs(many_a[i : i + 256, None] - many_b)
+            fit = np.floor(np.maximum(fit, 0.01) * 10_000 + 0.5).astype(np.int64)
+            top = np.argpartition(-(fit * (len(b) + 1) + place), n - 1, axis=1)[:, :n]
+            at.append(np.repeat(np.arange(i, i + len(fit)), n))
+            of_row.append(top.ravel())
+            fits.append(np.take_along_axis(fit, top, 1).ravel() / 10_000)
+        take = lambda t, column, places: t[column].combine_chunks().take(pa.array(np.concatenate(places) if places else [], pa.int64()))
+        return pa.table({"tag": take(a, "tag", at), "kind": take(a, "kind", at), "first": take(b, "first", of_row), "relevance": pa.array(np.concatenate(fits) if fits else [], pa.float64())})
+
+    met = ["tag", "pb", "rb"]
+    found = left.groupBy(*met).cogroup(right.groupBy(*met)).applyInArrow(best, f"tag string, kind {dict(kinds.dtypes)['kind']}, first {dict(rows.dtypes)['first']}, relevance double")
+    first = lambda by: F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("relevance"), by))
+    near = found.withColumn("n", first("first")).where(F.col("n") <= keep).drop("n").join(members.select("tag", "first", "key"), ["tag", "first"])
+    near = near.withColumn("n", first("key")).where(F.col("n") <= keep).select("kind", "key", "relevance")
+    named = p.join(kinds, ["tag", "t"]).select("plan", "kind")
+    u = F.greatest(md5_uniform(F.col("plan"), F.col("key")), F.lit(1e-12))
+    drawn = named.join(near, "kind").withColumn("e", F.round(-F.log(u) / F.col("relevance"), 9))
+    return drawn.withColumn("rank", F.row_number().over(Window.partitionBy("plan").orderBy("e", "key"))).where(F.col("rank") <= k).select(F.col("plan").alias(plan), F.col("key").alias(key), "relevance", "rank")
 
 
 def reject_reason(text: Column, language: Column, wanted: Column, least: Column, most: Column, gold: Column, target: Column) -> Column:

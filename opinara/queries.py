@@ -467,9 +467,8 @@ def q_greedy_acceptance(spark, d):
 @query()
 def q_style_seeds(spark, d):
     plans = _t(spark, d, "generation_plan").groupBy("plan_id").agg(F.min_by(F.struct(F.col("language").alias("l"), F.col("target_gold").alias("t")), "planned_at").alias("p")).select("plan_id", F.col("p.l").alias("language"), F.coalesce("p.t", F.create_map().cast("map<string,string>")).alias("target"))
-    pool = _t(spark, d, "reading_anchor").select("doc_id").distinct().join(_t(spark, d, "dataset").withColumnRenamed("row_no", "doc_id"), "doc_id")
-    pool = pool.select(F.col("doc_id").cast("string").alias("key"), "language", F.coalesce("gold", F.create_map().cast("map<string,string>")).alias("gold"), F.greatest(F.coalesce(F.size("gold"), F.lit(0)), F.lit(0)).cast("double").alias("score"))
-    return augment.style_seeds(plans, pool, "plan_id", "key")
+    pool = _t(spark, d, "dataset").where("split = 'train'").select(F.col("row_no").cast("string").alias("key"), "language", F.coalesce("gold", F.create_map().cast("map<string,string>")).alias("gold"), F.greatest(F.coalesce(F.size("gold"), F.lit(0)), F.lit(0)).cast("double").alias("score"))
+    return augment.style_seeds(plans, pool, "plan_id", "key", fallback=True)
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
