@@ -63,7 +63,9 @@ class Skeleton:
     ``of`` decomposes, replaces every character by its prototype (variants by what they are compatible with, odd
     spaces by a space, invisible characters by nothing, look-alike letters by the Latin ones) and decomposes again.
     A look-alike letter is replaced inside words that have Latin letters; a word wholly in another script stays.
-    ``odd`` tells whether a text has a character that looks like ordinary text without being its ordinary form.
+    ``odd`` tells whether a text has a character that looks like ordinary text without being its ordinary form: it isn't
+    its own skeleton composed again (joined emoji and words wholly in another script are), or has an accent by itself
+    that composes with nothing.
     """
 
     def __init__(self, table: dict[str, str]) -> None:
@@ -89,11 +91,12 @@ class Skeleton:
                     self.single[c] = table[c]
                 else:
                     maybe.append(c)
-        self.sure, self.maybe, self.foreign = frozenset(sure), frozenset(maybe), frozenset(table)
+        self.sure, self.maybe, self.accents = frozenset(sure), frozenset(maybe), frozenset(filter(is_accent, sure))
         self.replace = {ord(c): self.single[c] for c in sure if c in self.single}
+        # letters of other scripts that Unicode never composes are ordinary; characters with one equal aren't
+        self.whole = {x: U.normalize("NFC", chr(x)) for a, b in blocks for x in range(a, b) if re.match("[^<]+ ", U.decomposition(chr(x))) and U.normalize("NFC", chr(x)) != chr(x)}
         self.word = re.compile(r"[^\W\d_]+(?:[​-‏⁠-⁤­﻿᠎̀-ͯ]+[^\W\d_]+)*")
         self.latin = re.compile(r"[A-Za-zÀ-ɏḀ-ỿＡ-Ｚａ-ｚ\U0001d400-\U0001d7ff]")
-        self.joined = re.compile("‍")
 
     def _emoji_join(self, text: str, at: int) -> bool:
         """The joiner at this place holds an emoji together."""
@@ -101,17 +104,12 @@ class Skeleton:
         right = text[at + 1 : at + 2]
         return bool(left and right) and U.category(left) in ("So", "Sk") and U.category(right) in ("So", "Sk")
 
-    def odd(self, text: str | None) -> bool:
+    def odd(self, text: str | None, skeleton: str | None = None) -> bool:
+        """skeleton: that of the text, where it is known."""
         if not text or text.isascii():
             return False
-        chars = set(text)
-        if not self.sure.isdisjoint(chars):
-            return True
-        if self.maybe.isdisjoint(chars):
-            return False
-        if any(not self._emoji_join(text, m.start()) for m in self.joined.finditer(text)):
-            return True
-        return not self.foreign.isdisjoint(chars) and any(not self.foreign.isdisjoint(w[0]) and self.latin.search(w[0]) for w in self.word.finditer(text))
+        form = U.normalize("NFC", self.of(text) if skeleton is None else skeleton)
+        return form != text and form != text.translate(self.whole) or not self.accents.isdisjoint(text)
 
     def _word(self, m: re.Match) -> str:
         w = m[0]

@@ -14,8 +14,8 @@ from opinara.llm import canon
 def with_skeleton(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """keys, skeleton string, odd boolean.
 
-    skeleton is the text's confusables skeleton (canon.Skeleton), odd says that some character looks like ordinary
-    text but isn't its ordinary form.  A null text has a null skeleton and isn't odd; an empty text is its own
+    skeleton is the text's confusables skeleton (canon.Skeleton), odd says that the text isn't its ordinary
+    form, which the skeleton tells.  A null text has a null skeleton and isn't odd; an empty text is its own
     skeleton.  Columns besides keys and text are not read.  One pass in Arrow batches, no shuffle.
     """
     table = canon.look_alikes(df.sparkSession)
@@ -24,8 +24,9 @@ def with_skeleton(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         make = canon.skeleton(table)
         for b in batches:
             texts = b.column(len(keys)).to_pylist()
+            forms = [make.of(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(keys))), pa.array([make.of(t) for t in texts], pa.string()), pa.array([make.odd(t) for t in texts], pa.bool_())],
+                [*(b.column(i) for i in range(len(keys))), pa.array(forms, pa.string()), pa.array([make.odd(t, f) for t, f in zip(texts, forms, strict=True)], pa.bool_())],
                 names=[*keys, "skeleton", "odd"],
             )
 
@@ -36,17 +37,9 @@ def with_skeleton(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 def odd_rows(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """The keys of the rows in odd form, each key once (a key's rows are odd if one of them is)."""
-    table = canon.look_alikes(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = canon.skeleton(table)
-        for b in batches:
-            yield b.filter(pa.array([make.odd(t) for t in b.column(len(keys)).to_pylist()], pa.bool_())).select(keys)
-
-    # texts of plain ASCII can't be odd; they stay in the JVM
+    # texts of plain ASCII are their own skeletons; they stay in the JVM
     kept = df.select(*keys, text).where(F.col(text).rlike(r"[^\x00-\x7F]"))
-    fields = ", ".join(f"`{k}` {t}" for k, t in kept.dtypes[:-1])
-    return kept.mapInArrow(run, fields).distinct()
+    return with_skeleton(kept, text, keys).where("odd").select(*keys).distinct()
 
 
 def skeleton_groups(df: DataFrame, text: str, keys: list[str]) -> DataFrame:

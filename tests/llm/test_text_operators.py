@@ -84,6 +84,17 @@ def test_confusables_queries(spark):
     assert {r.k: r.odd for r in p5_confusables.with_skeleton(df.where("k in (1, 3)"), "t", ["k"]).collect()} == {1: False, 3: False}
 
 
+def test_odd_rows_are_those_that_differ_from_their_skeleton(spark, table):
+    # Kelvin, Angstrom and Ohm signs equal single letters; a word in another script and joined emoji are ordinary
+    rows = [(1, "5 \u212a"), (2, "\u212bngstr\u00f6m"), (3, "8 \u2126"), (4, "8 \u03a9 y 5 K"), (5, "\u0431\u043e\u0440\u0449"), (6, "\u0958\u0932"), (7, "\U0001f468\u200d\U0001f373"), (8, "q\u0303"), (9, "\u0441af\u00e9"), (10, "caf\u00e9")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    found = p5_confusables.odd_rows(df, "t", ["k"])
+    assert sorted(r.k for r in found.collect()) == [1, 2, 3, 8, 9]
+    assert "skeleton" in found._jdf.queryExecution().analyzed().toString()
+    s = canon.skeleton(table)
+    assert s.of("8 \u2126") == s.of("8 \u03a9") and s.of("5 \u212a") == s.of("5 K")
+
+
 def test_folded_words(table):
     words = canon.folder(table).words
     assert words("<b>Él</b> DIJO: «ca­fé» y​ té… ５") == ["el", "dijo", "cafe", "y", "te", "5"] == words("el dijo cafe y te 5")
