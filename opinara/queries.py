@@ -328,6 +328,14 @@ def q_ngram_max_similarity(spark, d):
     return found.select("plan_key", F.round("max_sim", 4).alias("max_sim"))
 
 
+@query()
+def q_reference_similarity(spark, d):
+    """The reference's comparison, with the train and devel reviews; q_ngram_max_similarity and its SQL take documents."""
+    rows = _t(spark, d, "synthetic_v1").withColumn("plan_key", F.row_number().over(Window.orderBy("id", "accepted_at")))
+    found = augment.max_similarity(_grams(rows, "plan_key"), _grams(_t(spark, d, "dataset").where("split in ('train', 'devel')"), "row_no"), "plan_key", "grams")
+    return found.select("plan_key", F.round("max_sim", 4).alias("max_sim"))
+
+
 @query("SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{m}')" for m in schema.TASK_MARKERS) + " AS leaked, " + " OR ".join("contains(text, {})".format("'" + m.replace("\n", "' || chr(10) || '") + "'") for m in schema.MARKUP) + " AS markup FROM documents")
 def q_markers(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.contains_any(F.lower("text"), schema.TASK_MARKERS).alias("leaked"), text.contains_any(F.col("text"), schema.MARKUP).alias("markup"))
