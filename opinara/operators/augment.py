@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,6 +181,31 @@ def reject_reason(text: Column, language: Column, wanted: Column, least: Column,
     )
 
 
+def reject_reason_in_order(rows: DataFrame, reference: DataFrame, key: str, other: str, reason: str, text: str, grams: str, most_reference: float = 0.55, most_accepted: float = 0.62) -> DataFrame:
+    """key, reason: the reason of each candidate, with those that need other rows after those it has.
+
+    A candidate without a reason so far is an exact duplicate of a reference text or of an accepted one before it, more
+    than most_reference similar to a reference text, or more than most_accepted to an accepted one before it, in order
+    of key. reference has other, text and grams.
+    """
+    from opinara.plans.runtime import cut
+
+    left = cut(rows.where(F.col(reason).isNull()).select(key, text, grams))
+    copies = duplicate_of(left, reference, text).select(key, F.lit("exact duplicate text").alias("r0"))
+    similar = similar_pairs(left, reference, key, other, grams, most_reference).select(F.col("x").alias(key), F.lit("too similar to train or devel").alias("r1")).distinct()
+    told = cut(left.join(copies, key, "left").join(similar, key, "left").withColumn("r", F.coalesce("r0", "r1")))
+    open_ = told.where("r is null").withColumn("_n", normalize(F.col(text)))
+    near = similar_pairs(open_, open_, key, key, grams, most_accepted).where("x < y")
+    # of equal texts the first one decides: where it isn't accepted, a similar text before it stands before the others too
+    first = open_.where("_n is not null").groupBy("_n").agg(F.min(key).alias("x"))
+    same = open_.join(first, "_n").where(F.col(key) > F.col("x")).select("x", F.col(key).alias("y"))
+    settled = accept_in_order(open_, key, near.unionByName(same).distinct()).where("not accepted")
+    kept = settled.join(same.select(F.col("y").alias(key), F.col("x").alias("first")), key, "left").join(settled.select(F.col(key).alias("first"), F.lit(True).alias("gone")), "first", "left")
+    late = kept.select(key, F.when(F.col("first").isNotNull() & F.col("gone").isNull(), "exact duplicate text").otherwise("too similar to accepted").alias("r2"))
+    later = told.select(key, "r").join(late, key, "left").select(key, F.coalesce("r", "r2").alias("_r"))
+    return rows.select(key, reason).join(later, key, "left").select(key, F.coalesce(reason, "_r").alias(reason))
+
+
 def max_similarity(candidates: DataFrame, reference: DataFrame, key: str, grams: str) -> DataFrame:
     """key, max_sim: the highest Jaccard similarity of each candidate's n-gram set with any reference set.
 
@@ -199,18 +226,47 @@ def duplicate_of(candidates: DataFrame, reference: DataFrame, text: str) -> Data
     return candidates.withColumn("_n", n).join(ref, "_n", "left_semi").drop("_n")
 
 
-def accept_greedily(candidates: DataFrame, key: str, grams: str, limit: float = 0.62) -> DataFrame:
-    """key, accepted: candidates in order of key, each accepted unless too similar to an accepted one before it.
+def similar_pairs(rows: DataFrame, reference: DataFrame, key: str, other: str, grams: str, limit: float) -> DataFrame:
+    """x, y: pairs of a row and a reference row whose n-gram sets are more than limit (above 0) similar.
 
-    All pairs over the limit are found by a join on n-grams; what depends on the order is settled on those pairs
-    alone: in each round, a candidate all of whose earlier neighbours are settled is settled too.
+    Two sets over the limit share a gram among the first n - ceil(limit n) + 1 of each in any common order; the rows meet
+    on those and are then compared whole. The order is by frequency in a sample of the rows, rarest first, which keeps
+    stock grams out of the join; how good the sample is decides the work, not the result.
+    """
+    sample = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(16)) == 0).select(grams).unionByName(reference.where(F.pmod(F.xxhash64(F.col(other)), F.lit(16)) == 0).select(grams))
+    counts = sample.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "g").limit(1 << 16).collect()
+    often = {r.g: r.n for r in counts}
+
+    def first(df: DataFrame, k: str, name: str) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                places, found, sizes = [], [], []
+                for i, g in enumerate(b.column(1).to_pylist()):
+                    n = len(g or ())
+                    for x in sorted(g, key=lambda v: (often.get(v, 0), v))[: n - math.ceil(limit * n - 1e-9) + 1] if n else ():
+                        places.append(i)
+                        found.append(x)
+                        sizes.append(n)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places, pa.int64())), pa.array(found, b.column(1).type.value_type), pa.array(sizes, pa.int32())], names=[name, "g", "n" + name])
+
+        kept = df.select(k, grams)
+        return kept.mapInArrow(run, f"{name} {kept.dtypes[0][1]}, g {kept.dtypes[1][1][6:-1]}, n{name} int")
+
+    near = first(rows, key, "x").join(first(reference, other, "y"), "g").where(F.least("nx", "ny") > F.greatest("nx", "ny") * (limit - 1e-9)).select("x", "y").distinct()
+    whole = near.join(rows.select(F.col(key).alias("x"), F.col(grams).alias("gx")), "x").join(reference.select(F.col(other).alias("y"), F.col(grams).alias("gy")), "y")
+    both = F.size(F.array_intersect("gx", "gy"))
+    return whole.withColumn("both", both).where(F.col("both") / (F.size("gx") + F.size("gy") - F.col("both")) > limit).select("x", "y")
+
+
+def accept_in_order(candidates: DataFrame, key: str, near: DataFrame) -> DataFrame:
+    """key, accepted: candidates in order of key, each accepted unless a pair (x, y) of near, x before y, has an accepted x.
+
+    What depends on the order is settled on those pairs alone: in each round, a candidate all of whose earlier
+    neighbours are settled is settled too.
     """
     from opinara.plans.runtime import cut
 
-    rows = candidates.select(key, F.explode(grams).alias("g"), F.size(grams).alias("n"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).groupBy(F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).agg(F.count(F.lit(1)).alias("both"))
-    near = cut(pairs.where(F.col("both") / (F.col("nx") + F.col("ny") - F.col("both")) > limit).select("x", "y"))
+    near = cut(near)
     open_, out = cut(near.select(F.explode(F.array("x", "y")).alias(key)).distinct()), None
     edges = near
     while not edges.isEmpty():
@@ -226,6 +282,12 @@ def accept_greedily(candidates: DataFrame, key: str, grams: str, limit: float =
     return settled.select(key, F.coalesce("accepted", F.lit(True)).alias("accepted") if out is not None else F.lit(True).alias("accepted"))
 
 
+def accept_greedily(candidates: DataFrame, key: str, grams: str, limit: float = 0.62) -> DataFrame:
+    """key, accepted: candidates in order of key, each accepted unless too similar to an accepted one before it."""
+    near = similar_pairs(candidates, candidates, key, key, grams, limit).where("x < y")
+    return accept_in_order(candidates, key, near)
+
+
 def numbered(rows: DataFrame, order: list[str], prefix: str = "synth_v1_") -> DataFrame:
     """rows with new_id: prefix and a number of four digits or more, in order."""
     n = F.row_number().over(Window.orderBy(*order)).cast("string")

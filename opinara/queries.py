@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import arith, parse, schema, text
 from opinara.operators import augment, baselines, experiments, features, metrics, profile, retrieval
+from opinara.plans.runtime import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -392,6 +393,34 @@ def q_reject_report(spark, d):
     return _reasons(spark, d).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(30)
 
 
+def _hashed(t):
+    """The n-grams as 64-bit hashes, a quarter of their size."""
+    return F.transform(text.ngrams(t), lambda g: F.xxhash64(g))
+
+
+def _whole_reasons(spark, d):
+    """A candidate is an id; rows delivered again have the reason of the first. Candidates follow each other by time and id."""
+    rows = _t(spark, d, "synthetic_v1").select("id", "accepted_at", "text")
+    firsts = _reasons(spark, d).groupBy("id").agg(F.min_by(F.struct("accepted_at", "bucket", "reason"), "accepted_at").alias("f")).select("id", "f.*")
+    texts = rows.groupBy("id").agg(F.min_by("text", "accepted_at").alias("text"))
+    ordered = firsts.join(texts, "id").withColumn("place", F.row_number().over(Window.orderBy("accepted_at", "id"))).withColumn("grams", _hashed(F.col("text")))
+    reference = _t(spark, d, "dataset").where("split in ('train', 'devel')").select("row_no", "text", _hashed(F.col("text")).alias("grams"))
+    ordered = cut(ordered)
+    told = augment.reject_reason_in_order(ordered, reference, "place", "row_no", "reason", "text", "grams")
+    return _reasons(spark, d).select("id", "accepted_at").join(ordered.select("id", "place"), "id").join(told, "place").select("id", "accepted_at", "reason")
+
+
+@query()
+def q_candidate_reasons(spark, d):
+    """All rules of the reference in order but that of the support spans, which synthetic_v1 doesn't have."""
+    return _whole_reasons(spark, d)
+
+
+@query()
+def q_candidate_report(spark, d):
+    return _whole_reasons(spark, d).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(30)
+
+
 # --- difficulty, plans, samples --------------------------------------------------------------------------------------
 
 _PRIO = "CASE aspect " + " ".join(f"WHEN '{a}' THEN {w}" for a, w in schema.PRIORITY_WEIGHTS.items()) + " ELSE 0 END"

@@ -1,5 +1,6 @@
 """Checks of candidates over small tables, against a loop."""
 
+import random
 import re
 
 from opinara.queries import queries
@@ -23,3 +24,43 @@ def test_similarity_is_with_train_and_devel(spark, tmp_path):
     spark.createDataFrame([(1, made[3])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.plan_key: r.max_sim for r in queries()["q_reference_similarity"](spark, str(tmp_path)).collect()}
     assert got == {i: round(max(_jaccard(_set(t), _set(x)) for _, split, x in refs if split != "test"), 4) for i, t in enumerate(made, 1)}
+
+
+def test_all_rules_in_order(spark, tmp_path):
+    random.seed(4)
+    word = [f"w{i}" for i in range(60)]
+    stock = " the waiter had told us about this place and its terrace"
+    texts = [" ".join(random.choice(word) for _ in range(14)) + stock for _ in range(12)]
+    refs = [(i, ["train", "devel", "test"][i % 3], t) for i, t in enumerate(texts)]
+    made = []
+    for _ in range(70):
+        w = random.choice(texts[:3] + [m for m in made[-25:]] * 2 + [" ".join(random.choice(word) for _ in range(14)) + stock]).split()
+        for _ in range(random.choice([0, 1, 2, 5])):
+            w[random.randrange(len(w))] = random.choice(word)
+        made.append(" ".join(w))
+    made += ["too short here", "too short here", "Too  Short here", texts[0].upper()]
+    rows = [(f"s{i:03}", "es" if i % 9 else "en", t, {}, "b", "p", i) for i, t in enumerate(made)]
+    schema = "id string, language string, text string, gold map<string,string>, bucket string, plan_id string, accepted_at int"
+    spark.createDataFrame([*rows, (*rows[5][:6], 500)], schema).write.parquet(f"{tmp_path}/synthetic_v1.parquet")
+    spark.createDataFrame(refs, "row_no long, split string, text string").write.parquet(f"{tmp_path}/dataset.parquet")
+    spark.createDataFrame([("p", "es", 1, 99, {}, 1)], "plan_id string, language string, min_words int, max_words int, target_gold map<string,string>, planned_at int").write.parquet(f"{tmp_path}/generation_plan.parquet")
+    known = [t for _, split, t in refs if split != "test"]
+    norms, accepted, want = {" ".join(t.lower().split()) for t in known}, [], {}
+    for key, language, t, *_ in rows:
+        if language != "es":
+            want[key] = "language mismatch"
+        elif " ".join(t.lower().split()) in norms:
+            want[key] = "exact duplicate text"
+        elif any(_jaccard(_set(t), _set(x)) > 0.55 for x in known):
+            want[key] = "too similar to train or devel"
+        elif any(_jaccard(_set(t), _set(x)) > 0.62 for x in accepted):
+            want[key] = "too similar to accepted"
+        else:
+            want[key] = None
+            accepted.append(t)
+            norms.add(" ".join(t.lower().split()))
+    found = queries()["q_candidate_reasons"](spark, str(tmp_path)).collect()
+    assert {r.id: r.reason for r in found} == want and len(found) == len(rows) + 1
+    assert len(set(want.values())) == 5
+    counts = {r.reason: r.n for r in queries()["q_candidate_report"](spark, str(tmp_path)).collect()}
+    assert counts == {x: sum(r.reason == x for r in found) for x in set(want.values()) - {None}}
