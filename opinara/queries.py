@@ -456,6 +456,12 @@ def q_plan_shortfall(spark, d):
     return augment.shortfall(_t(spark, d, "synthetic_v1").where("accepted_at < timestamp '2024-03-01'"), "bucket").withColumn("plans", F.col("plans").cast("long"))
 
 
+@query()
+def q_shortfall_of_all(spark, d):
+    """What all accepted rows leave missing; q_plan_shortfall and its SQL count those before 2024-03-01."""
+    return augment.shortfall(_t(spark, d, "synthetic_v1"), "bucket").withColumn("plans", F.col("plans").cast("long"))
+
+
 @query("SELECT bucket, \"language\", coalesce(cardinality(target_gold), 0)::INT labels, count(*) n FROM generation_plan GROUP BY GROUPING SETS ((1), (2), (3))")
 def q_plan_report(spark, d):
     rows = _t(spark, d, "generation_plan").select("bucket", "language", F.greatest(F.coalesce(F.size("target_gold"), F.lit(0)), F.lit(0)).alias("labels"))
