@@ -504,7 +504,7 @@ def q_concatenate(spark, d):
 @query()
 def q_greedy_acceptance(spark, d):
     rows = _t(spark, d, "synthetic_v1").dropDuplicates(["id"])
-    return augment.accept_greedily(_grams(rows, "id"), "id", "grams", 0.3)
+    return augment.accept_greedily(rows.select("id", _hashed(F.col("text")).alias("grams")), "id", "grams")
 
 
 @query()

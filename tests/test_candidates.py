@@ -73,3 +73,13 @@ def test_shortfall_counts_all_accepted_rows(spark, tmp_path):
     spark.createDataFrame(rows, "bucket string, t string").selectExpr("bucket", "cast(t as timestamp) accepted_at").write.parquet(f"{tmp_path}/synthetic_v1.parquet")
     got = {r.bucket: (r.have, r.missing, r.plans) for r in queries()["q_shortfall_of_all"](spark, str(tmp_path)).collect()}
     assert got[full] == (quota, 0, 0) and got[short] == (want - 3, 3, 5)
+
+
+def test_acceptance_is_limited_at_062(spark, tmp_path):
+    w = [f"w{i}" for i in range(40)]
+    made = [" ".join(w[:24]), " ".join(w[:12] + w[20:32]), " ".join(w[:20] + w[28:36]), " ".join([*w[:23], "x"]), None]
+    spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(made)], "id string, text string").write.parquet(f"{tmp_path}/synthetic_v1.parquet")
+    sets = [_set(t) for t in made]
+    assert 0.3 < _jaccard(sets[0], sets[2]) < 0.62 < _jaccard(sets[0], sets[3])
+    got = {r.id: r.accepted for r in queries()["q_greedy_acceptance"](spark, str(tmp_path)).collect()}
+    assert got == {"s0": True, "s1": True, "s2": True, "s3": False, "s4": True}
