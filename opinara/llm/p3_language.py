@@ -40,7 +40,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(places, sizes): the places of each word's character sequences up to three long, ends marked, and of the word itself."""
     from zlib import crc32
 
-    marked = [f"<{w[:40]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     sizes = np.array([len(w) for w in marked])
     whole = np.array([crc32(w.encode()) for w in marked], np.uint32)
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
@@ -126,10 +126,21 @@ class Model:
     def __init__(self, weights: np.ndarray, slopes: np.ndarray) -> None:
         self.weights, self.slopes = weights, slopes
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(weights)))
+        self.held = 0
+        self.scores = np.zeros((1024, self.values([]).shape[1]))
 
     def __reduce__(self):
-        return Model, (self.weights, self.slopes)
+        return type(self), (self.weights, self.slopes)
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the sums: a row for each word."""
+        out = np.zeros((len(words), len(self.weights)))
+        if words:
+            places, sizes = features(words)
+            firsts = np.cumsum(sizes) - sizes
+            for m in range(len(self.weights)):
+                out[:, m] = np.add.reduceat(self.weights[m][places], firsts)
+        return out
 
     def word_rows(self, words: list[str]) -> list[int]:
         known = self.rows
@@ -139,22 +150,22 @@ class Model:
             known.update(zip(new, range(start, start + len(new)), strict=True))
             while len(known) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            places, sizes = features(new)
-            firsts = np.cumsum(sizes) - sizes
-            for m in range(len(self.weights)):
-                self.scores[start : start + len(new), m] = np.add.reduceat(self.weights[m][places], firsts)
+            self.scores[start : start + len(new)] = self.values(new)
+            self.held += sum(map(len, new))
         return [known[w] for w in words]
 
     def trim(self) -> None:
-        """Forget the words met so far once they are many."""
-        if len(self.rows) > 300_000:
+        """Forget the words met so far once they are many, or long."""
+        if len(self.rows) > 300_000 or self.held > 30_000_000:
             self.rows.clear()
+            self.held = 0
 
     def sums(self, word_lists: list[list[str]]) -> np.ndarray:
         """Sum of the words' weights, for each list of words and machine."""
         sizes = np.array([len(x) for x in word_lists], np.int64)
         flat = self.word_rows([w for x in word_lists for w in x])
-        cum = np.concatenate([np.zeros((1, len(self.weights))), np.cumsum(self.scores[flat], axis=0)]) if flat else np.zeros((1, len(self.weights)))
+        cum = np.zeros((len(flat) + 1, self.scores.shape[1]))
+        np.cumsum(self.scores[flat], axis=0, out=cum[1:])
         ends = np.cumsum(sizes)
         return cum[ends] - cum[ends - sizes]
 
