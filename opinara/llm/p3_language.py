@@ -34,6 +34,8 @@ LOWER = "".join(c.lower() if c.isalpha() else " " for c in map(chr, range(256)))
 CHUNK = 12
 SHARE = 0.22
 SURE = 1.0
+#: Least words of a passage in a language that the document isn't written in, and how much surer it has to be.
+PASSAGE, PLAIN = 6, 1.5
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +205,7 @@ def fit(df: DataFrame, text: str, label: str, row: str, sample: int = SAMPLE, se
     for x in LANGUAGES:
         if counts.get(x):
             take = take | ((code == x) & (part < min(1.0, sample / counts[x])))
-    rows = df.where(F.col(text).isNotNull() & take).select(code.alias("c"), F.substring(F.col(text), 1, 100_000).alias("t"), F.col(row).alias("r")).toArrow().to_pylist()
+    rows = df.where(F.col(text).isNotNull() & take).select(code.alias("c"), F.col(text).alias("t"), F.col(row).alias("r")).toArrow().to_pylist()
     rows.sort(key=lambda x: x["r"])
     rows += [{"c": c, "t": t} for c, t in (seeds or {}).items()]
     plain = Plain(table)
@@ -249,11 +251,11 @@ SEGMENTS = "array<struct<segment:int,words:int,lang:string,confidence:double>>"
 def languages(df: DataFrame, text: str, keys: list[str], model: Model, share: float = SHARE, sure: float = SURE) -> DataFrame:
     """keys, langs array<struct<lang, share, confidence>>, segments array: one row per row of df.
 
-    A document has the language of its words together, and a second one if the sentences written in it hold at least
-    ``share`` of the words and weigh, on average, more than ``sure`` for it on the machine that tells it from the
-    first.  Foreign words within sentences and names don't make a second language.  Null, blank and wordless texts
-    have empty arrays.  segments are the runs of neighbouring sentences in one language; a document of one language
-    is one segment.
+    A document has the language of its words together, and every other one whose sentences hold at least ``share`` of
+    the words and weigh, on average, more than ``sure`` for it on the machine that tells it from the first.  Foreign
+    words within sentences and names don't make a further language.  Null, blank and wordless texts have empty arrays.
+    segments are the runs of neighbouring sentences in one language, also of passages that hold less than ``share``;
+    a document of one language is one segment.  A text in none of the five gets the one it is nearest to.
     """
     table = canon.look_alikes(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -293,10 +295,10 @@ def languages(df: DataFrame, text: str, keys: list[str], model: Model, share: fl
                     langs.add(main[i], 1.0, size[i], total[i])
                     parts.add(main[i], 1.0, size[i], total[i])
                 elif a < z:
-                    found = _document(sums[a:z], counts[a:z], chosen[a:z], share, sure)
+                    found = document(sums[a:z], counts[a:z], chosen[a:z], share, sure)
                     for x, w, t in found:
                         langs.add(x, w, w * size[i], t)
-                    for x, w, t in _runs(sums[a:z], counts[a:z], chosen[a:z], [x for x, _, _ in found]):
+                    for x, w, t in _runs(sums[a:z], counts[a:z], chosen[a:z], [x for x, _, _ in found], sure):
                         parts.add(x, 1.0, w, t)
                 langs.end()
                 parts.end()
@@ -316,33 +318,48 @@ def _gap(sums: np.ndarray, x: int, other: int) -> np.ndarray:
     raise AssertionError
 
 
-def _document(sums: np.ndarray, counts: np.ndarray, chosen: np.ndarray, share: float, sure: float) -> list[tuple[int, float, np.ndarray]]:
+def _best(sums: np.ndarray, among: list[int]) -> np.ndarray:
+    """The language among these that each row weighs most for, against every other one of them."""
+    least = [np.min([_gap(sums, x, y) for y in among if y != x], axis=0) for x in among]
+    return np.array(among)[np.argmax(least, axis=0)]
+
+
+def document(sums: np.ndarray, counts: np.ndarray, chosen: np.ndarray, share: float, sure: float) -> list[tuple[int, float, np.ndarray]]:
+    """(language, share of the words, sums) of the languages that the sentences of a document are written in, the main one first."""
     total = sums.sum(axis=0, keepdims=True)
     words = counts.sum()
     main = int(decide(total)[0])
-    if len(counts) > 1 and (chosen != chosen[0]).any() or chosen[0] != main:
+    if (chosen != chosen[0]).any() or chosen[0] != main:
         weight = np.bincount(chosen, counts, len(LANGUAGES)) / words
         main = int(np.argmax(weight)) if weight.max() > 0.5 else main
-        best = None
-        for x in np.flatnonzero(weight >= share):
-            if x == main:
-                continue
+        among = [main]
+        for x in map(int, np.flatnonzero(weight >= share)):
             at = chosen == x
-            gap = _gap(sums[at], int(x), main)
-            mean = gap.sum() / np.sqrt(counts[at].sum())
-            if mean > sure and (best is None or weight[x] > weight[best[0]]):
-                best = (int(x), mean)
-        if best is not None:
-            x = best[0]
-            own = _gap(sums, x, main) > 0
-            w = counts[own].sum() / words
-            if w >= share and 1 - w >= share:
-                return [(main, float(1 - w), sums[~own].sum(axis=0)), (x, float(w), sums[own].sum(axis=0))]
+            if x != main and _gap(sums[at], x, main).sum() / np.sqrt(counts[at].sum()) > sure:
+                among.append(x)
+        while len(among) > 1:
+            own = _best(sums, among)
+            held = {x: counts[own == x].sum() / words for x in among}
+            low = min(among, key=lambda x: (held[x], -x))
+            if held[low] >= share:
+                return [(x, float(held[x]), sums[own == x].sum(axis=0)) for x in among]
+            among.remove(low)
+        main = among[0]
     return [(main, 1.0, total[0])]
 
 
-def _runs(sums: np.ndarray, counts: np.ndarray, chosen: np.ndarray, found: list[int]) -> list[tuple[int, int, np.ndarray]]:
-    own = np.full(len(counts), found[0]) if len(found) == 1 else np.where(_gap(sums, found[1], found[0]) > 0, found[1], found[0])
+def _runs(sums: np.ndarray, counts: np.ndarray, chosen: np.ndarray, found: list[int], sure: float) -> list[tuple[int, int, np.ndarray]]:
+    """(language, words, sums) of the runs of neighbouring sentences in one language.
+
+    Sentences are in one of the document's languages, or in another one where a run of them, of PASSAGE words or
+    more, plainly is, whatever its share of the document.
+    """
+    own = np.full(len(counts), found[0]) if len(found) == 1 else _best(sums, found)
+    cuts = [0, *(np.flatnonzero(np.diff(chosen)) + 1), len(chosen)]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        x, words = int(chosen[a]), counts[a:z].sum()
+        if x not in found and words >= PASSAGE and min(_gap(sums[a:z], x, int(y)).sum() for y in set(own[a:z])) / np.sqrt(words) > PLAIN * sure:
+            own[a:z] = x
     cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
     return [(int(own[a]), int(counts[a:z].sum()), sums[a:z].sum(axis=0)) for a, z in zip(cuts, cuts[1:], strict=False)]
 

@@ -116,14 +116,40 @@ def test_languages_held_out(spark):
     assert right / len(found) > 0.93
 
 
+def test_families_segments_and_confidence(spark, model):
+    """Documents put together of sentences that their rows' labels and a vote of both halves agree on come apart where they were joined."""
+    df = spark.read.parquet("/root/testdata/sf0.1/dataset.parquet").where("row_no > 30000 and length(text) > 150")
+    found = p3_language.languages(df.select("row_no", language_code(df.language).alias("c"), "text"), "text", ["row_no", "c"], model)
+    clean = {}
+    for r in found.where("size(langs) = 1 and size(segments) = 1 and langs[0].lang = c").select("row_no", "c").orderBy("row_no").collect():
+        clean.setdefault(r.c, []).append(r.row_no)
+    family = {x: f for f, xs in p3_language.FAMILIES.items() for x in xs}
+    whole = found.where("c in ('en', 'es', 'ca', 'fr', 'de') and size(langs) = 1").select("c", "langs").collect()
+    assert sum(family[r.c] == family[r.langs[0].lang] for r in whole) / len(whole) > 0.93
+    # labels are wrong for some rows: sure answers agree with them more often than unsure ones
+    sure = [r.c == r.langs[0].lang for r in whole if r.langs[0].confidence > 0.99]
+    unsure = [r.c == r.langs[0].lang for r in whole if r.langs[0].confidence <= 0.99]
+    assert len(sure) > len(unsure) and sum(sure) / len(sure) >= (sum(unsure) / len(unsure) if unsure else 0)
+    pairs = list(zip(clean["es"][:100], clean["en"][:100], clean["ca"][:100]))
+    texts = {r.row_no: r.text for r in df.where(df.row_no.isin([x for p in pairs for x in p])).select("row_no", "text").collect()}
+    joined = spark.createDataFrame([(i, " ".join(texts[x].strip().rstrip(".") + "." for x in p)) for i, p in enumerate(pairs)], "k int, t string")
+    got = [[s.lang for s in r.segments] for r in p3_language.languages(joined, "t", ["k"], model).collect()]
+    assert sum(g == ["es", "en", "ca"] for g in got) / len(got) > 0.85
+
+
 def test_languages_of_edge_cases(spark):
     es = "La comida estaba muy buena y el camarero nos atendió con una sonrisa. "
     en = "The food was very good and the waiter looked after us with a smile. "
     train = spark.read.parquet("/root/testdata/sf0.01/dataset.parquet")
     model = p3_language.fit(train, "text", "language", "row_no")
     rows = [(1, None, "e"), (2, " \n", "e"), (3, es * 3, "e"), (4, es * 2 + en * 2, "e"), (5, es * 4 + "Le gustó the window. ", "e"), (6, en * 3000, "e"), (7, "1234 !!", "e"), (3, es * 3, "e")]
+    fr = "Le repas était très bon et le serveur nous a accueillis avec le sourire. "
+    rows += [(8, es * 2 + en * 2 + fr * 2, "e"), (9, es * 9 + en, "e")]
+    found = p3_language.languages(spark.createDataFrame(rows, SCHEMA.replace("extra", "langs2")), "t", ["k"], model)
+    parts = {r.k: [x.lang for x in r.segments] for r in found.where("k > 7").collect()}
+    assert parts == {8: ["es", "en", "fr"], 9: ["es", "en"]}
     got = {r.k: sorted(x.lang for x in r.langs) for r in p3_language.languages(spark.createDataFrame(rows, SCHEMA.replace("extra", "langs2")), "t", ["k"], model).collect()}
-    assert got == {1: [], 2: [], 3: ["es"], 4: ["en", "es"], 5: ["es"], 6: ["en"], 7: []}
+    assert got == {1: [], 2: [], 3: ["es"], 4: ["en", "es"], 5: ["es"], 6: ["en"], 7: [], 8: ["en", "es", "fr"], 9: ["es"]}
     assert p3_language.languages(spark.createDataFrame([], SCHEMA), "t", ["k"], model).count() == 0
 
 
@@ -150,14 +176,52 @@ DONE = '\n{"service": "negative"}'
     ],
 )
 def test_defects(spark, model, table, answer, defect):
-    out = p4_pairs._rules(REVIEW, answer, canon.folder(table).words, p3_language.Plain(table), model)
+    out = p4_pairs._defects(p4_pairs._rules(REVIEW, answer, canon.folder(table).words, p3_language.Plain(table), model))
     assert (out[0] if out else None) == defect
 
 
+@pytest.mark.parametrize(
+    ("answer", "rules"),
+    [
+        # every rule by itself, whatever else is triggered
+        ("<think>", ["empty", "unclosed"]),
+        ("I am sorry, but I am not permitted to rate any business in this way.\n{}", ["refusal", "language"]),
+        (REVIEW + DONE, ["copied"]),
+        (REVIEW + ' Lo siento, no estoy autorizado a valorarla. {"service": "neg', ["copied", "refusal", "no_map", "unclosed", "abrupt"]),
+        ("The service was bad and the terrace is lovely.", ["no_map", "language"]),
+        ("Se queja del servicio y la terraza le gusta" + DONE + "\nEn la terraza hay", ["abrupt"]),
+        ("Se queja del servicio." + DONE + "\n```json", ["unclosed"]),
+        ('Se queja del servicio.\n{"service": "negative"}\n{"service": "neg', ["no_map", "unclosed", "abrupt"]),
+        ("这家餐厅的服务很慢，但是露台很漂亮。" + DONE, ["script"]),
+        ("Non ci sono opinioni sul prezzo, però il servizio è stato lento e anche scortese; comunque gli è piaciuta molto la terrazza, perché si affaccia sul mare." + DONE, ["language"]),
+        ("«Esperamos mucho por la merluza y nadie pidió perdón» habla del servicio, que aquí se juzga con dureza." + DONE, []),
+    ],
+)
+def test_every_rule_is_tried(spark, model, table, answer, rules):
+    got = p4_pairs._rules(REVIEW, answer, canon.folder(table).words, p3_language.Plain(table), model)
+    assert got == rules
+
+
+REFUSE = """This goes against my guidelines.|I am not permitted to rate businesses.|I'm unable to complete this task.|I'd prefer not to comment on this.|I have to pass on this one.
+My policy does not allow me to label private texts.|This request cannot be processed.|No estoy autorizado a evaluar restaurantes.|No me está permitido analizar textos personales.|Mis normas me impiden valorar negocios.
+Prefiero no opinar sobre este local.|No haré ninguna valoración.|No m'està permès fer aquesta anàlisi.|Les meves normes no em permeten etiquetar res.|Em sap greu, però no podré ajudar-te amb això.
+Je ne suis pas autorise a evaluer ce texte.|Il m'est interdit d'analyser des avis.|Cela va à l'encontre de mes principes.|Nous ne pouvons pas traiter cette demande.
+Das ist mir nicht erlaubt.|Ich bin dazu nicht befugt.|Ich lehne diese Anfrage ab.|Das verstößt gegen meine Richtlinien.|Ich darf dazu keine Bewertung abgeben."""
+GO_ON = """You can't beat the paella here.|There is no opinion on service, so I leave it out.|I cannot find any opinion on the prices.|The kitchen will not make vegetarian dishes.|It is not right to count the price as negative.
+No hay opinión sobre el vino, por eso lo dejo fuera.|El autor no puede quejarse del servicio.|No puedo encontrar opiniones sobre la terraza.|No volveré a este sitio.|L'autor no comenta res sobre el servei.|No tornaré mai més.
+Je ne trouve aucun avis sur le service.|Je ne dois garder que ce qui est affirmé ouvertement.|Nous ne reviendrons pas.|Über die Preise sagt der Gast überhaupt nichts.|Ich kann keine Meinung zum Service finden.|Der Gast konnte nicht bezahlen."""
+
+
+def test_refusals_are_told_from_other_denials():
+    """Phrasings that stand in no table."""
+    assert [x for x in REFUSE.replace("\n", "|").split("|") if not p4_pairs.refuses(x)] == []
+    assert [x for x in GO_ON.replace("\n", "|").split("|") if p4_pairs.refuses(x)] == []
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     train = spark.read.parquet("/root/testdata/sf0.01/dataset.parquet")
-    return p3_language.fit(train, "text", "language", "row_no", seeds=p4_pairs.COMMON)
+    return p3_language.fit(train, "text", "language", "row_no", seeds=p4_pairs.FUNCTION_WORDS)
 
 
 def test_defects_of_a_table(spark):
