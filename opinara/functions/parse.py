@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import ast
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,80 +13,150 @@ from pyspark.sql import types as T
 
 from opinara.functions.schema import ASPECTS, POLARITIES
 
-_DECODER = json.JSONDecoder()
-#: What repairs are tried, one after the other (half-quoted keys, bare keys, bare polarities).
-REPAIRS = (
-    (re.compile(r'([\{,]\s*)([A-Za-z_][A-Za-z0-9_]*)"\s*:'), r'\1"\2":'),
-    (re.compile(r"([\{,]\s*)([A-Za-z_][A-Za-z0-9_]*)\s*:"), r'\1"\2":'),
-    (re.compile(r"(:\s*)(positive|negative|neutral|conflict)(\s*[,}\]])"), r'\1"\2"\3'),
-)
-
-
-def _values(text: str) -> list[object]:
-    """All objects and lists that can be read from somewhere in the text, by the place where they start."""
-    for fence in ("```json", "```JSON", "```"):
-        text = text.replace(fence, "")
-    text = text.replace("“", '"').replace("”", '"')
-    out: list[object] = []
-    for m in re.finditer(r"[\[{]", text):
-        plain = text[m.start() :]
-        fixed = plain
-        for pattern, new in REPAIRS:
-            fixed = pattern.sub(new, fixed)
-        for part in dict.fromkeys((plain, fixed)):
-            value = _read(part)
-            if value is not None:
-                out.append(value)
-    return out
-
-
-def _read(part: str) -> object | None:
-    """A strict value at the start of part, or else a Python literal up to its last bracket."""
-    try:
-        return _DECODER.raw_decode(part)[0]
-    except (json.JSONDecodeError, RecursionError):
-        pass
-    end = max(part.rfind("}"), part.rfind("]"))
+#: Pieces of a written value: brackets and signs, strings in either quotes, anything else up to the next sign.
+_PIECE = re.compile(r"""[\[\]{}:,]|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^\s\[\]{}:,"]+"?|\S""", re.S)
+_OPENING = re.compile(r"[\[{]")
+_STRAIGHT = str.maketrans("“”", '""')
+_UNDERSCORES = str.maketrans("- ", "__")
+#: What bare words stand for.
+_WORDS = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None} | {p: p for p in POLARITIES}
+_NONE = object()
+
+
+class _Group:
+    """An object or list that is being read: its place, what it holds, and what may come next."""
+
+    __slots__ = ("at", "held", "key", "want")
+
+    def __init__(self, at: int, bracket: str) -> None:
+        self.at, self.held, self.key = at, {} if bracket == "{" else [], _NONE
+        #: item (or the end), colon, value, or sign (comma or the end)
+        self.want = "item"
+
+    def take(self, value: object) -> bool:
+        """Put a value where one is due."""
+        if isinstance(self.held, list) and self.want in ("item", "value"):
+            self.held.append(value)
+        elif self.want == "value":
+            self.held[self.key] = value
+        elif self.want == "item" and isinstance(value, str):
+            self.key, self.want = value, "colon"
+            return True
+        else:
+            return False
+        self.want = "sign"
+        return True
+
+
+def _word(piece: str, group: _Group) -> object:
+    """A string, number or bare word as a value; names may be bare or lack their first quote where a key is due."""
+    if piece[0] == '"' == piece[-1] and len(piece) > 1:
+        try:
+            return json.loads(piece, strict=False)
+        except ValueError:
+            return piece[1:-1]
+    if piece[0] == "'" == piece[-1] and len(piece) > 1:
+        return piece[1:-1].replace("\\'", "'")
+    if isinstance(group.held, dict) and group.want == "item":
+        name = piece.removesuffix('"')
+        return name if name.isidentifier() and name.isascii() else _NONE
+    if piece in _WORDS:
+        return _WORDS[piece]
     try:
-        value = ast.literal_eval(part[: end + 1]) if end >= 0 else None
-    except (SyntaxError, ValueError, MemoryError, RecursionError, TypeError):
-        return None
-    return value if isinstance(value, (dict, list)) else None
-
-
-def as_labels(value: object) -> dict[str, str]:
-    """The valid (aspect, polarity) pairs of a parsed value; the last one of an aspect holds."""
-    if isinstance(value, list):
-        items = [(x.get("aspect") or x.get("category"), x.get("polarity") or x.get("sentiment")) for x in value if isinstance(x, dict)]
-    elif isinstance(value, dict):
-        items = [(k, (v.get("polarity") or v.get("sentiment")) if isinstance(v, dict) else v) for k, v in value.items()]
-    else:
-        items = []
-    out = {}
-    for aspect, polarity in items:
-        if isinstance(aspect, str) and isinstance(polarity, str):
-            aspect, polarity = re.sub("[- ]", "_", aspect.strip().lower()), polarity.strip().lower()
-            if aspect in ASPECTS and polarity in POLARITIES:
-                out[aspect] = polarity
-    return out
+        return float(piece)
+    except ValueError:
+        return _NONE
+
+
+def written_values(text: str) -> list[tuple[int, object]]:
+    """(place, value) of every object and list that is written out somewhere in the text, in one pass over its pieces.
+
+    Groups that are open stand on a stack and are given to the one around them once they close. What can't go on
+    where it stands closes nothing: the open groups are dropped, those that had closed inside them remain, and
+    reading goes on at the next bracket. Brackets within strings are looked into as well.
+    """
+    text = text.translate(_STRAIGHT)
+    found: list[tuple[int, object]] = []
+    stack: list[_Group] = []
+    at = 0
+    while True:
+        m = _PIECE.search(text, at) if stack else _OPENING.search(text, at)
+        if m is None:
+            return found
+        piece, start, at = m[0], m.start(), m.end()
+        if piece in "{[":
+            if stack and stack[-1].want not in ("item", "value") or stack and isinstance(stack[-1].held, dict) and stack[-1].want == "item":
+                stack.clear()
+            stack.append(_Group(start, piece))
+            continue
+        top = stack[-1]
+        if piece in "}]":
+            whole = top.want in ("sign", "item") and isinstance(top.held, dict) == (piece == "}")
+            if whole:
+                found.append((top.at, top.held))
+                stack.pop()
+            if not whole or stack and not stack[-1].take(top.held):
+                stack.clear()
+        elif piece == "," and top.want == "sign":
+            top.want = "item"
+        elif piece == ":" and top.want == "colon":
+            top.want = "value"
+        else:
+            value = _word(piece, top) if piece not in ",:" else _NONE
+            if value is _NONE or not top.take(value):
+                # running text: go on behind its first character, where a bracket may follow
+                stack.clear()
+                at = start + 1
+            elif len(piece) > 2 and piece[0] in "\"'" and _OPENING.search(piece):
+                found += [(start + 1 + i, v) for i, v in written_values(piece[1:-1])]
+
+
+def _pairs(value: object) -> Iterator[tuple[object, object]]:
+    """(aspect, polarity) as they are written, valid or not."""
+    either = lambda x, a, b: x.get(a) or x.get(b)
+    match value:
+        case dict():
+            for aspect, polarity in value.items():
+                yield aspect, either(polarity, "polarity", "sentiment") if isinstance(polarity, dict) else polarity
+        case list():
+            for x in filter(lambda x: isinstance(x, dict), value):
+                yield either(x, "aspect", "category"), either(x, "polarity", "sentiment")
+
+
+def labels_of(value: object) -> dict[str, str]:
+    """The valid pairs of a value; the last one of an aspect holds."""
+    clean = ((a.strip().lower().translate(_UNDERSCORES), p.strip().lower()) for a, p in _pairs(value) if isinstance(a, str) and isinstance(p, str))
+    return {a: p for a, p in clean if a in ASPECTS and p in POLARITIES}
 
 
 def read_labels(text: str | None) -> dict[str, str]:
-    """The labels of the last readable value that has some, or is an empty object: after the reasoning first, then anywhere."""
-    if not text:
-        return {}
-    for space in dict.fromkeys((text.rsplit("</think>", 1)[-1], text)):
-        for value in reversed(_values(space)):
-            labels = as_labels(value)
-            if labels or value == {}:
-                return labels
+    """The labels of the value that begins last, of those that have some or are an empty object: behind the reasoning if there is one, else anywhere."""
+    behind = (text or "").rpartition("</think>")
+    for part in (behind[2], text) if behind[1] else behind[2:]:
+        last = max(((at, labels) for at, value in written_values(part) if (labels := labels_of(value)) or value == {}), key=lambda x: x[0], default=None)
+        if last:
+            return last[1]
     return {}
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def extract_labels(text: pd.Series) -> pd.Series:
-    """Generated text -> label map; empty where nothing can be read."""
-    return text.map(read_labels, na_action=None)
+def _scan_labels(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else read_labels(t), na_action=None)
+
+
+def extract_labels(text: Column | str) -> Column:
+    """Generated text -> label map; empty where nothing can be read.
+
+    What ends in one flat JSON object and has no other bracket behind its reasoning is read in the JVM; the scanner
+    in Python gets the other texts only.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    lone = F.regexp_extract(F.substring_index(text, "</think>", -1), r"^[^\[{}\]]*(\{[^\[{}\]“”']*\})[^\[{}\]]*$", 1)
+    strict = F.from_json(F.nullif(lone, F.lit("")), "map<string,string>")
+    labels = normalize_labels(strict)
+    easy = F.when(strict.isNotNull() & ((F.size(labels) > 0) | (F.size(strict) == 0)), labels)
+    none = F.create_map().cast("map<string,string>")
+    return F.coalesce(easy, _scan_labels(F.when(easy.isNull(), text)), none)
 
 
 def first_object(text: str | None) -> dict:
