@@ -27,6 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_with_hot(left: DataFrame, right: DataFrame, key: str, size: str, limit: int = 100_000) -> DataFrame:
+    """left joined with right, which has one row for each key and in ``size`` how many rows of left have it; left rows without a partner stay.
+
+    Keys with more than ``limit`` rows are sent to all tasks, so that none of them makes one task: they are at most
+    the rows of left over limit. The others are joined by shuffle.
+    """
+    hot, rest = right.where(F.col(size) > limit), right.where(F.col(size) <= limit)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
+    return left.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def rank_in_group(df: DataFrame, group: list[str], order: list[Column], rank: str, salts: int = 64) -> DataFrame:
     """0-based rank within group, without one task per group.
 
