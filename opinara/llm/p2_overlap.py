@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm import canon, setjoin
-from opinara.plans.runtime import expand_links
+from opinara.plans.runtime import expand_links, join_with_hot
 
 TAU = 0.75
 MIN_WORDS = 12
@@ -41,6 +41,18 @@ def overlap_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.select(F.least("item_a", "item_b").alias("row_no_a"), F.greatest("item_a", "item_b").alias("row_no_b"))
 
 
+def overlap_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """rid, cls, role, copies, links: every record that takes part, the least record of its class, and how many other classes across the splits it is near to.
+
+    This and the links are the whole result without any expansion of copies into pairs; ``role`` is 1 in train and 2 outside, ``copies`` the records of the class, ``both`` tells that it
+    stands on both sides.
+    """
+    degree = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    sized = degree.join(members.where("rid = cls").select("cls", F.col("n").alias("size_of_class")), "cls")
+    told = join_with_hot(members.select("rid", "cls", "role", F.col("n").alias("copies"), (F.col("roles") == 3).alias("both")), sized, "cls", "size_of_class")
+    return told.select("rid", "cls", "role", "copies", "both", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def overlap_report(df: DataFrame, members: DataFrame, links: DataFrame, rid: str = "row_no", split: str = "split", source: str = "source") -> DataFrame:
     """split, source, records, same, near: how many records outside train stand in train, the same or nearly the same.
 
@@ -53,7 +65,9 @@ def overlap_report(df: DataFrame, members: DataFrame, links: DataFrame, rid: str
     # a linked class outside train has a partner in train, as its own roles and the links say
     kinds = ends.groupBy("cls").agg(F.max("kind").alias("kind"))
     near = _train_partner(members, links)
-    hits = members.where("role = 2").join(kinds, "cls").join(near, "cls", "left").select(F.col("rid"), F.when(F.col("kind") == 2, 2).when(F.col("partner"), 1).alias("kind"))
+    flags = kinds.join(near, "cls", "left").join(members.where("rid = cls").select("cls", F.col("n").alias("size_of_class")), "cls")
+    told = join_with_hot(members.where("role = 2").select("rid", "cls"), flags, "cls", "size_of_class")
+    hits = told.select("rid", F.when(F.col("kind") == 2, 2).when(F.col("partner"), 1).alias("kind"))
     rows = df.where((F.col(split) != "train") | F.col(split).isNull()).select(F.col(rid).cast("long").alias("rid"), F.col(split).alias("split"), F.col(source).alias("source"))
     return rows.join(hits, "rid", "left").groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("records"), F.count_if(F.col("kind") == 2).alias("same"), F.count_if(F.col("kind") == 1).alias("near")

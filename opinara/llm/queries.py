@@ -31,6 +31,10 @@ def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_overlap.overlap_report(rows, *p2_overlap.split_overlap(rows))
 
 
+def p2_overlap_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_overlap.overlap_classes(*p2_overlap.split_overlap(_table(spark, sf_dir, "dataset"))).withColumnRenamed("rid", "row_no")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_language.wrong_labels(p3_language.document_languages(_table(spark, sf_dir, "dataset")))
 
@@ -115,7 +119,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_token_budget, p1_document_tokens, p2_found, p2_overlap_report, p3_found, p3_segments, p4_found, p4_rules, p5_found, p5_skeleton_groups, p6_found, p6_sampled, p6_quota_report, p7_found, p7_groups_of_keys, p8_packed, p8_fill_report, p9_mixed, p9_mix_report, p10_found, p10_levels)
+    own = (p1_token_budget, p1_document_tokens, p2_found, p2_overlap_report, p2_overlap_classes, p3_found, p3_segments, p4_found, p4_rules, p5_found, p5_skeleton_groups, p6_found, p6_sampled, p6_quota_report, p7_found, p7_groups_of_keys, p8_packed, p8_fill_report, p9_mixed, p9_mix_report, p10_found, p10_levels)
     return {f.__name__: f for f in own}
 
 

@@ -5,11 +5,16 @@ Hamming distance of the sets is at most (1 - tau) / (1 + tau) * (|x| + |y|).  Th
 
 1.  Every record is reduced to a hash of its canonical token set; equal hashes are one class, and only one record of
     a class goes on, so that copies cost nothing further.
-2.  A sketch of fixed size (2^20 counters) counts the rows that hold each token.  It gives one order of all tokens,
-    rare ones first.  Two similar records share a token among the first |x| - ceil(tau |x|) + 1 of each.
+2.  A sketch of 2^20 to 2^24 counters, by the number of records, counts the rows that hold each token.  It gives one
+    order of all tokens, rare ones first.  Two similar records share a token among the first |x| - ceil(tau |x|) + 1
+    of each.
 3.  Each record sends a hash key for each of these tokens.  A token that the sketch counts more than ``hot`` times is
     sent in pairs with the tokens after it, up to one place further: if it is the first common token, the second
-    common one is there in both.  Tokens counted once are not sent.
+    common one is there in both.  Pairs that a second sketch counts more than ``hot`` times are sent in threes the
+    same way.  Tokens counted once are not sent.  So that the keys of a record grow with its length and not with a
+    power of it, records of PART tokens and more are cut into parts by the tokens' hashes, two to the power that
+    their size gives; in some part the records are as similar as they are altogether, and each part sends keys by
+    itself.  A record whose partners may have another number of parts sends keys for both.
 4.  Records that meet at a key are pruned by their sizes, by the places of the token, and by a 128-bit parity image
     of their sets: chains of consecutive segments must keep their cumulative differences within the proportional
     budgets (the pigeonring principle), then the whole image must stay within the distance.
@@ -29,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.plans.runtime import cut
+from opinara.plans.runtime import cut, join_with_hot
 
-BITS = 20
+BITS, MOST_BITS = 20, 24
 CHUNK = 12
+#: Tokens from which on a record is cut into parts, of half as many tokens each or more.
+PART = 64
 TokenMaker = Callable[[], Callable[[object], list[str]]]
 
 
@@ -69,37 +76,47 @@ def _set_hashes(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in both]
 
 
-def records(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker) -> tuple[DataFrame, DataFrame]:
-    """(recs, sketch): recs has rid, rec binary, size, total, role; sketch has the token counters by chunk. One pass, written once."""
+def _sketch_rows(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Counters as chunks that hold anything: numbers and compressed counts."""
+    import zlib
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+    parts = counts.reshape(-1, 1 << CHUNK)
+    used = np.flatnonzero(parts.any(axis=1))
+    return pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())
+
+
+def _count(counts: np.ndarray, hashes: np.ndarray) -> None:
+    at, n = np.unique(hashes.view(np.uint64) & np.uint64(len(counts) - 1), return_counts=True)
+    counts[at.astype(np.int64)] += n.astype(np.uint32)
 
+
+def records(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(recs, sketch): recs has rid, rec binary, size, total, role, tokens binary; sketch has the token counters by chunk. One pass, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, h = make(), _Hashes()
-        counts = np.zeros(1 << BITS, np.uint32)
-        names = ["rid", "rec", "size", "total", "role", "chunk", "counts"]
+        counts = np.zeros(1 << bits, np.uint32)
+        names = ["rid", "rec", "size", "total", "role", "tokens", "chunk", "counts"]
         for b in batches:
             flat, sizes, totals = _sets(b.column(1).to_pylist(), tokens, h)
-            counts += np.bincount((flat & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS).astype(np.uint32)
+            _count(counts, flat)
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_set_hashes(flat, sizes), pa.binary()), pa.array(sizes, pa.int32()), pa.array(totals, pa.int32()), b.column(2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        parts = counts.reshape(-1, 1 << CHUNK)
-        used = [i for i in range(len(parts)) if parts[i].any()]
+            raw, ends = flat.tobytes(), 8 * np.cumsum(sizes)
+            held = pa.array([raw[e - 8 * k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_set_hashes(flat, sizes), pa.binary()), pa.array(sizes, pa.int32()), pa.array(totals, pa.int32()), b.column(2), held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        used, blobs = _sketch_rows(counts)
         n = len(used)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())],
-            names=names,
-        )
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *(pa.nulls(n, pa.int32()) for _ in range(3)), pa.nulls(n, pa.binary()), used, blobs], names=names)
 
     both = cut(
         df.select(F.col(rid).cast("long").alias("rid"), F.col(value).alias("value"), role.cast("int").alias("role"))
-        .mapInArrow(run, "rid long, rec binary, size int, total int, role int, chunk int, counts binary")
+        .mapInArrow(run, "rid long, rec binary, size int, total int, role int, tokens binary, chunk int, counts binary")
     )
     return both.where("chunk is null").drop("chunk", "counts"), both.where("chunk is not null").select("chunk", "counts")
 
 
-def counters(sketch: DataFrame) -> np.ndarray:
-    """The sketch as one array of bytes, 2^20 long at any size of the data: counts up to 255, larger ones in steps of a sixteenth of their power of two."""
+def counters(sketch: DataFrame, bits: int) -> np.ndarray:
+    """The sketch as one array of 2^bits short numbers: counts up to 255, larger ones in steps of a sixty-fourth of a doubling."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -110,7 +127,8 @@ def counters(sketch: DataFrame) -> np.ndarray:
                 total += np.frombuffer(zlib.decompress(blob), np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_level(total).tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    out = np.zeros(1 << BITS, np.uint16)
+    out = np.zeros(1 << bits, np.uint16)
+    # 2^bits counters at most, whatever the size of the data
     for r in sketch.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
         out[r.chunk << CHUNK : (r.chunk + 1) << CHUNK] = np.frombuffer(r.counts, np.uint16)
     return out
@@ -129,31 +147,72 @@ def _mix(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
         return (x * np.uint64(0x94D049BB133111EB)).view(np.int64)
 
 
-def _postings(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray, tau: float, hot: int) -> tuple[np.ndarray, ...]:
-    """row, key, place, and the parity images by row."""
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    level = levels[(flat & np.uint64((1 << BITS) - 1)).astype(np.int64)]
-    order = np.lexsort((flat, (rows << 16) | level))
-    flat, level = flat[order], level[order]
+def _parts(sizes: np.ndarray) -> np.ndarray:
+    """Numbers of parts of records of these sizes: powers of two, 1 below PART tokens."""
+    return np.left_shift(1, np.maximum(np.log2(np.maximum(sizes, 1) / (PART / 2) + 1e-12).astype(np.int64), 0))
+
+
+def _images(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parity images: bit i tells whether a set has an odd number of tokens whose hash falls on i."""
+    bit = (flat >> np.uint64(40)).astype(np.int64) & 127
+    image = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * 128 + bit, minlength=len(sizes) * 128).astype(np.uint8).reshape(-1, 128)
+    return np.packbits(image & 1, axis=1, bitorder="little").view(np.int64).reshape(-1, 2)
+
+
+def _keys(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray, marks: np.ndarray | None, tau: float, hot: int, count: bool = False) -> tuple[np.ndarray, ...]:
+    """row, key, local: the keys that records send; local holds the part's size, and its place less the common tokens before it.
+
+    With ``count``, only the pairs that hot tokens form are returned, for the sketch of pairs.
+    """
+    variants = [_parts(np.ceil(tau * sizes - 1e-9).astype(np.int64)), _parts(sizes), _parts(np.floor(sizes / tau + 1e-9).astype(np.int64))]
+    use = [np.ones(len(sizes), bool), variants[1] != variants[0], variants[2] != variants[1]]
     starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(flat)) - np.repeat(starts, sizes)
-    keep = np.repeat(sizes - np.ceil(tau * sizes - 1e-9).astype(np.int64) + 1, sizes)
+    owner = np.concatenate([np.flatnonzero(u) for u in use])
+    parts = np.concatenate([v[u] for v, u in zip(variants, use, strict=True)])
+    n = sizes[owner]
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    flat = flat[np.repeat(starts[owner], n) + inner]
+    many = np.repeat(parts, n)
+    group = np.repeat(np.cumsum(parts) - parts, n) + ((flat >> np.uint64(47)).astype(np.int64) & (many - 1))
+    level = levels[(flat & np.uint64(len(levels) - 1)).astype(np.int64)]
+    order = np.lexsort((flat, (group << 16) | level))
+    flat, level, group, many = flat[order], level[order], group[order], many[order]
+    local = np.bincount(group, minlength=int(parts.sum()))
+    first = np.cumsum(local) - local
+    need = np.ceil(tau * local - 1e-9).astype(np.int64)
+    row_of = np.repeat(owner, parts)
     hot_level = int(_level(np.array([hot]))[0])
-    inside = place < keep
-    cold = inside & (level <= hot_level) & (level > 1)
-    warm = np.flatnonzero(inside & (level > hot_level))
-    # a hot token at place i, with every later one up to place ``keep``
-    last = np.minimum(keep, np.repeat(sizes, sizes) - 1)[warm]
-    times = np.maximum(last - place[warm], 0)
-    first = np.repeat(warm, times)
-    second = first + 1 + (np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times))
-    row = np.concatenate([rows[cold], rows[first]])
-    key = np.concatenate([_mix(flat[cold]), _mix(flat[first], flat[second])])
-    at = np.concatenate([place[cold], place[first]])
-    bit = (flat >> np.uint64(40)).astype(np.int64) & 127
-    image = np.bincount(rows * 128 + bit, minlength=len(sizes) * 128).astype(np.uint8).reshape(-1, 128)
-    packed = np.packbits(image & 1, axis=1, bitorder="little").view(np.int64).reshape(-1, 2)
-    return row, key, at, packed
+    token = _mix(flat, np.where(many > 1, many.astype(np.uint64) * np.uint64(0x9E3779B1), np.uint64(0))).view(np.uint64)
+
+    at = np.flatnonzero(np.arange(len(flat)) - first[group] < local[group] - need[group] + 1)
+    key, is_hot = token[at], level[at] > hot_level
+    alone = level[at] <= 1
+    done = [(at[~is_hot & ~alone], key[~is_hot & ~alone], 1)]
+    at, key = at[is_hot], key[is_hot]
+    for depth in (2, 3):
+        if depth == 3:
+            stop = np.ones(len(at), bool) if marks is None else ~marks[(key & np.uint64(len(marks) - 1)).astype(np.int64)]
+            done.append((at[stop], key[stop], 2))
+            at, key = at[~stop], key[~stop]
+        g = group[at]
+        # where fewer tokens have to be common, there may be no further one
+        end = need[g] < depth
+        done.append((at[end], key[end], depth - 1))
+        at, key, g = at[~end], key[~end], g[~end]
+        last = first[g] + np.minimum(local[g] - need[g] + depth, local[g]) - 1
+        times = np.maximum(last - at, 0)
+        before = np.repeat(np.arange(len(at)), times)
+        at = at[before] + 1 + np.arange(len(before)) - np.repeat(np.cumsum(times) - times, times)
+        key = _mix(key[before], token[at]).view(np.uint64)
+        if count:
+            return (key,)
+    done.append((at, key, 3))
+    at = np.concatenate([x[0] for x in done])
+    key = np.concatenate([x[1] for x in done])
+    depth = np.repeat([x[2] for x in done], [len(x[0]) for x in done])
+    g = group[at]
+    place = at - first[g] - (depth - 1)
+    return row_of[g], key.view(np.int64), (local[g] << 32) | np.maximum(place, 0)
 
 
 def _budget(tau: float, n: Column) -> Column:
@@ -182,87 +241,94 @@ def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, t
     its records).  members has rid, cls, role, size: every record with the least rid of its class.  links has a < b,
     classes with different token sets that reach tau; with across only those where one class has role 1 and the
     other role 2.  Records with fewer than min_total tokens (repeats counted), and those without any token, are in no
-    class.  The copies to leave out in the second pass are sent to all tasks if they are at most ``few``, and joined
-    away otherwise.
+    class.  The copies to leave out when keys are sent go to all tasks if they are at most ``few``, and are joined
+    away otherwise.  Keys that many records send are split between tasks by the adaptive skew join.
     """
-    recs, sketch = records(df, rid, value, role, make)
-    levels = df.sparkSession.sparkContext.broadcast(counters(sketch))
+    context = df.sparkSession.sparkContext
+    bits = min(MOST_BITS, max(BITS, (max(df.count(), 1) - 1).bit_length()))
+    recs, sketch = records(df, rid, value, role, make, bits)
+    levels = context.broadcast(counters(sketch, bits))
     recs = recs.where((F.col("size") > 0) & (F.col("total") >= min_total))
     classes = recs.groupBy("rec").agg(F.min("rid").alias("cls"), F.bit_or("role").alias("roles"), F.count(F.lit(1)).alias("n"))
-    members = cut(recs.join(classes, "rec").select("rid", "cls", "role", "roles", "size", "n"))
-    source = df.select(F.col(rid).cast("long").alias("rid"), F.col(value).alias("value"))
+    # a record alone in its class needs no partner; a class of very many records is sent to all tasks
+    copied = cut(classes.where("n > 1"))
+    plain = recs.select("rid", "rec", "role", "size")
+    known = join_with_hot(plain, copied, "rec", "n")
+    single = F.coalesce("cls", "rid").alias("cls"), F.coalesce("roles", "role").alias("roles"), F.coalesce("n", F.lit(1).cast("long")).alias("n")
+    members = cut(known.select("rid", single[0], "role", single[1], "size", single[2]))
     others = members.where("rid <> cls").select("rid")
-    taking = members.where("rid = cls").select("rid", "roles")
-
-    def post(skip: np.ndarray | None, ask: Callable | None) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens, h = make(), _Hashes()
-            for b in batches:
-                if skip is not None:
-                    ids = b.column(0).to_numpy()
-                    at = np.minimum(np.searchsorted(skip.value, ids), max(len(skip.value) - 1, 0))
-                    b = b.filter(pa.array(skip.value[at] != ids)) if len(skip.value) else b
-                if not b.num_rows:
-                    continue
-                flat, sizes, totals = _sets(b.column(1).to_pylist(), tokens, h)
-                good = totals >= min_total
-                if not good.all():
-                    flat = flat[np.repeat(good, sizes)]
-                    sizes = sizes[good]
-                    b = b.filter(pa.array(good))
-                row, key, at, image = _postings(flat, sizes, levels.value, tau, hot)
-                ids = b.column(0).to_numpy()
-                roles = b.column(2).to_numpy() if b.num_columns > 2 else np.zeros(len(ids), np.int32)
+    if others.limit(few + 1).count() <= few:
+        skip = context.broadcast(np.sort(np.array([r for b in others.toArrow().column(0).chunks for r in b.to_numpy()], np.int64)))
+        sent = recs.select("rid", "tokens", "role")
+    else:
+        skip = None
+        sent = recs.select("rid", "tokens").join(members.where("rid = cls").select("rid", F.col("roles").alias("role")), "rid")
+
+    def sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, roles, tokens one after another and sizes of the records that stand for their classes."""
+        if skip is not None and len(skip.value) and b.num_rows:
+            ids = b.column(0).to_numpy()
+            b = b.filter(pa.array(skip.value[np.minimum(np.searchsorted(skip.value, ids), len(skip.value) - 1)] != ids))
+        held = b.column(1).to_pylist()
+        return b.column(0).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(held), np.uint64), np.array([len(x) // 8 for x in held], np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for b in batches:
+            _, _, flat, sizes = sets(b)
+            _count(counts, _keys(flat, sizes, levels.value, None, tau, hot, count=True)[0])
+        yield pa.RecordBatch.from_arrays(list(_sketch_rows(counts)), names=["chunk", "counts"])
+
+    marks = None
+    if levels.value.max(initial=0) > int(_level(np.array([hot]))[0]):
+        pairs = counters(sent.mapInArrow(count, "chunk int, counts binary"), bits)
+        marks = context.broadcast(pairs > int(_level(np.array([hot]))[0]))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, roles, flat, sizes = sets(b)
+            # a batch at a time, as long records send many keys
+            at = 0
+            while at < len(sizes):
+                end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 200_000)) + at)
+                mine = sizes[at:end]
+                start = int(sizes[:at].sum())
+                own = flat[start : start + int(mine.sum())]
+                row, key, local = _keys(own, mine, levels.value, None if marks is None else marks.value, tau, hot)
+                image = _images(own, mine)
+                row_ = row + at
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ids[row]), pa.array(image[row, 0]), pa.array(image[row, 1]), pa.array(sizes[row], pa.int32()), pa.array(at, pa.int32()), pa.array(roles[row], pa.int32())],
-                    names=["key", "rid", "b1", "b2", "size", "place", "role"],
+                    [pa.array(key), pa.array(ids[row_]), pa.array(image[row, 0]), pa.array(image[row, 1]), pa.array(mine[row], pa.int32()), pa.array(local), pa.array(roles[row_], pa.int32())],
+                    names=["key", "rid", "b1", "b2", "size", "local", "role"],
                 )
+                at = end
 
-        return run
-
-    shape = "key long, rid long, b1 long, b2 long, size int, place int, role int"
-    counted = others.limit(few + 1).count()
-    role_of = df.select(F.col(rid).cast("long").alias("rid"), F.col(value).alias("value"), role.cast("int").alias("role"))
-    if counted <= few:
-        skip = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r for b in others.toArrow().column(0).chunks for r in b.to_numpy()], np.int64)))
-        posted = role_of.mapInArrow(post(skip, None), shape)
-        # a class has its members' roles: what its copies add is known from the copied classes alone
-        if across:
-            copied = members.where("rid = cls and n > 1").select(F.col("rid").alias("c"), F.col("roles"))
-            many = posted.join(F.broadcast(copied), F.col("rid") == F.col("c"), "left") if counted <= few else None
-            posted = many.select("key", "rid", "b1", "b2", "size", "place", F.coalesce("roles", "role").alias("role"))
-    else:
-        posted = source.join(taking, "rid").select("rid", "value", F.col("roles").alias("role")).mapInArrow(post(None, None), shape)
+    posted = sent.mapInArrow(post, "key long, rid long, b1 long, b2 long, size int, local long, role int")
+    if across and skip is not None:
+        # a class has its members' roles: what its copies add is known from the copied classes alone, at most ``few``
+        posted = posted.join(F.broadcast(copied.select(F.col("cls").alias("c"), "roles")), F.col("rid") == F.col("c"), "left").select("key", "rid", "b1", "b2", "size", "local", F.coalesce("roles", "role").alias("role"))
     x, y = posted.alias("x"), posted.alias("y")
     size = F.col("x.size") + F.col("y.size")
-    need = F.ceil(size * (tau / (1 + tau)) - 1e-9)
-    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    whole = lambda s: F.shiftright(f"{s}.local", 32)
+    rest = lambda s: whole(s) - F.col(f"{s}.local").bitwiseAND(F.lit((1 << 32) - 1))
     apart = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (left >= need)
+    # some part has its own share of common tokens, and the key is the first of them there
+    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.least(rest("x"), rest("y")) >= F.ceil((whole("x") + whole("y")) * (tau / (1 + tau)) - 1e-9))
+    meets &= F.least("x.size", "y.size") >= F.ceil(size * (tau / (1 + tau)) - 1e-9)
     if across:
-        meets &= ((F.col("x.role").bitwiseAND(F.lit(1)) > 0) & (F.col("y.role").bitwiseAND(F.lit(2)) > 0)) | ((F.col("x.role").bitwiseAND(F.lit(2)) > 0) & (F.col("y.role").bitwiseAND(F.lit(1)) > 0))
+        has = lambda s, r: F.col(f"{s}.role").bitwiseAND(F.lit(r)) > 0
+        meets &= (has("x", 1) & has("y", 2)) | (has("x", 2) & has("y", 1))
     if ring:
         meets &= _ring(tau)
     meets &= apart <= _budget(tau, size)
     found = cut(x.join(y, meets).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
-    return members, _verified(source, found, make, tau, few)
+    return members, _verified(recs, found, tau, few)
 
 
-def _verified(source: DataFrame, found: DataFrame, make: TokenMaker, tau: float, few: int) -> DataFrame:
+def _verified(recs: DataFrame, found: DataFrame, tau: float, few: int) -> DataFrame:
     """Of the pairs found, those whose whole token sets reach tau."""
     ids = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    if ids.limit(few + 1).count() <= few:
-        wanted = source.join(F.broadcast(ids), "rid", "left_semi")
-    else:
-        wanted = source.join(ids, "rid", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, h = make(), _Hashes()
-        for b in batches:
-            flat, sizes, _ = _sets(b.column(1).to_pylist(), tokens, h)
-            ends = np.cumsum(sizes)
-            raw = [flat[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["rid", "tokens"])
+    words = recs.select("rid", "tokens").join(F.broadcast(ids) if ids.limit(few + 1).count() <= few else ids, "rid", "left_semi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,7 +339,6 @@ def _verified(source: DataFrame, found: DataFrame, make: TokenMaker, tau: float,
                 keep.append(common >= math.ceil(tau * (len(s) + len(t) - common) - 1e-9))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    words = wanted.mapInArrow(sets, "rid long, tokens binary")
     pairs = (
         found.join(words.select(F.col("rid").alias("a"), F.col("tokens").alias("ta")), "a")
         .join(words.select(F.col("rid").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")

@@ -43,6 +43,47 @@ def test_links_lose_nothing(spark, hot, few, ring):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_long_records_lose_nothing(spark, hot):
+    """Records of which many are cut into parts, around the sizes where the number of parts changes."""
+    from pyspark.sql import functions as F
+
+    random.seed(hot)
+    words, texts = [f"v{i}" for i in range(400)], []
+    for _ in range(40):
+        base = random.sample(words, random.choice([40, 60, 63, 64, 80, 120, 130, 250, 260]))
+        texts.append(" ".join(base))
+        for share in (0.05, 0.12, 0.14, 0.2):
+            kept = [w for w in base if random.random() > share]
+            texts.append(" ".join(kept + random.sample(words, random.randrange(1 + int(share * len(base))))))
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    members, links = setjoin.links(df, "k", "t", F.lit(3), lambda: str.split, 0.75, hot=hot)
+    cls = {r.rid: r.cls for r in members.collect()}
+    want = {(a, b) for a, b in combinations(sorted(set(cls.values())), 2) if _near(texts[a].split(), texts[b].split(), 0.75)}
+    assert len(want) > 50 and {(r.a, r.b) for r in links.collect()} == want
+
+
+def test_keys_grow_with_the_length():
+    """Keys of one record whose tokens are all frequent, and whose pairs are too."""
+    levels, marks = np.full(1 << setjoin.BITS, 5000, np.uint16), np.ones(1 << setjoin.BITS, bool)
+    rng = np.random.default_rng(1)
+
+    def keys(n):
+        return len(setjoin._keys(rng.integers(0, 1 << 63, n).astype(np.uint64), np.array([n]), levels, marks, 0.75, 100)[0])
+
+    assert keys(5000) < 30 * 5000 and keys(20_000) < 6 * keys(5000)
+
+
+def test_stock_sentence_splits_over_tasks(spark):
+    """A class of copies that is a third of all rows is joined without a task of its own."""
+    from opinara.plans.runtime import join_with_hot
+
+    left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, -1, id) k")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").where("n > 1 or k % 2 = 0")
+    got = join_with_hot(left, right, "k", "n", 100).collect()
+    assert len(got) == 3000 and sum(r.n == 1000 for r in got) == 1000 and sum(r.n is None for r in got) == 1000
+
+
 def test_split_overlap(spark):
     texts = _texts(120, 9) + [None, "", "short text", "short text"]
     splits = [random.choice(["train", "devel", "test"]) for _ in texts]
@@ -52,6 +93,8 @@ def test_split_overlap(spark):
     ws = [(t or "").split() for t in texts]
     want = {(a, b) for a, b in combinations(range(len(texts)), 2) if (splits[a] == "train") != (splits[b] == "train") and min(len(ws[a]), len(ws[b])) >= 12 and _near(ws[a], ws[b], 0.75)}
     assert got == want
+    classes = {r.rid: r for r in p2_overlap.overlap_classes(members, links).collect()}
+    assert {x for x, r in classes.items() if r.both or r.links} == {x for p in want for x in p} | {x for x, r in classes.items() if classes[r.cls].links}
     report = p2_overlap.overlap_report(df, members, links)
     hit = {x for a, b in want for x in (a, b) if splits[x] != "train"}
     assert sum(r.same + r.near for r in report.collect()) == len(hit)
