@@ -23,7 +23,7 @@ def look_alikes(spark: SparkSession) -> dict[str, str]:
     """Letter -> Latin letters or digits that it looks like, for letters beyond ASCII, of other scripts or phonetic, whose look is plain ASCII.
 
     The table comes from the Unicode confusables data in the ICU library that Spark itself ships; it is read on the
-    driver, by one call, and goes to the tasks within their closure (about 1,300 entries, fixed by Unicode).
+    driver, by one call, and goes to the tasks within their closure (some hundred entries, fixed by Unicode).
     """
     letters = [c for c in map(chr, range(0x80, 0x20000)) if U.category(c)[0] == "L" and U.category(c) != "Lo" or c in OWN_PROTOTYPES]
     icu = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
@@ -37,6 +37,19 @@ def look_alikes(spark: SparkSession) -> dict[str, str]:
     return table | OWN_PROTOTYPES
 
 
+@lru_cache(maxsize=1)
+def prototypes(spark: SparkSession) -> dict[str, str]:
+    """Character -> what it looks like: letters, digits, punctuation and symbols of every script, plain ASCII ones too.
+
+    The whole table of the confusables data in the ICU library that Spark ships (some thousand entries, fixed by
+    Unicode): a prototype may be several characters (m looks like rn), and 1, l, I and | have one in common.
+    """
+    chars = [c for c in map(chr, [*range(0x21, 0xD800), *range(0xF900, 0x20000)]) if U.category(c)[0] in "LNPS"]
+    icu = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    looks = icu.getSkeleton("\n".join(chars)).split("\n")
+    return {c: look for c, look in zip(chars, looks, strict=True) if look != U.normalize("NFD", c)}
+
+
 def is_variant(c: str) -> bool:
     """A compatible variant of letters or digits: wide, mathematical, circled, ligatures."""
     if c in ORDINARY_VARIANTS or not U.decomposition(c).startswith("<"):
@@ -57,6 +70,9 @@ def is_accent(c: str) -> bool:
     return U.category(c) in ("Mn", "Me") and c not in EMOJI and not "︀" <= c <= "️" and not "\U000e0100" <= c <= "\U000e01ef"
 
 
+_EMOJI_PARTS = dict.fromkeys(map(ord, EMOJI[:3]), "")
+
+
 class Skeleton:
     """Skeletons of texts under a look-alike table.
 
@@ -115,6 +131,19 @@ class Skeleton:
         w = m[0]
         return "".join(self.table.get(c, c) for c in w) if self.latin.search(w) else w
 
+    def looks(self, text: str | None, prototypes: dict[int, str]) -> str | None:
+        """The skeleton under a whole table of prototypes, by which all texts that look alike are equal, also in words wholly of look-alikes.
+
+        Decomposed, invisible characters gone, odd spaces and variants replaced, every character by its prototype,
+        decomposed again. It is for comparison only: a plain text needn't be its own skeleton.
+        """
+        if text is None:
+            return None
+        out = U.normalize("NFD", text)
+        if not out.isascii():
+            out = out.translate(self.replace).translate(_EMOJI_PARTS)
+        return U.normalize("NFD", out.translate(prototypes))
+
     def of(self, text: str | None) -> str | None:
         if text is None:
             return None
@@ -171,18 +200,20 @@ class Folder(dict):
         return raw.translate(self.bytes, self.gone).decode("ascii").split()
 
 
-_folders: dict[int, Folder] = {}
+_made: dict[tuple[type, frozenset], object] = {}
 
 
-def folder(table: dict[str, str]) -> Folder:
-    """The worker's folder for this table."""
-    return _folders.setdefault(len(table), Folder(table))
+def _worker(kind: type, table: dict[str, str]):
+    """The worker's one object of this kind for this table."""
+    key = kind, frozenset(table.items())
+    if key not in _made:
+        _made[key] = kind(table)
+    return _made[key]
 
 
-_skeletons: dict[int, Skeleton] = {}
+def folder(table: dict[str, str]) -> Folder:
+    return _worker(Folder, table)
 
 
 def skeleton(table: dict[str, str]) -> Skeleton:
-    if len(table) not in _skeletons:
-        _skeletons[len(table)] = Skeleton(table)
-    return _skeletons[len(table)]
+    return _worker(Skeleton, table)

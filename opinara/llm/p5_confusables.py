@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm import canon
+from opinara.plans.runtime import cut, join_with_hot
 
 
 def with_skeleton(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -43,25 +44,34 @@ def odd_rows(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 
 def skeleton_groups(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """skeleton_hash, rows, forms: the groups of originals with one skeleton that have more than one form.
-
-    Rows with null texts belong to no group.  Skeletons and forms are 128-bit hashes; counts are exact up to those.
-    The first aggregate is by (skeleton, form), so that one text that holds a third of all rows is counted where it
-    is read, and the second sees each form once.
+    """keys, skeleton_hash, form_hash, rows, forms: every row whose text looks like a differently written one.
+
+    skeleton_hash names the group, form_hash the way the row is written; rows and forms are how many the group has.
+    The skeleton is that of the whole table of prototypes (``Skeleton.looks``), so words wholly of look-alike letters,
+    digits and punctuation meet the plain ones.  Rows with null texts belong to no group.  Skeletons and forms are
+    128-bit hashes.  The first aggregate is by (skeleton, form), so that one text that holds a third of all rows is
+    counted where it is read, the second sees each form once, and groups of very many rows go to all tasks when the
+    members are told their group.
     """
-    table = canon.look_alikes(df.sparkSession)
+    spark = df.sparkSession
+    table = canon.look_alikes(spark)
+    shared = spark.sparkContext.broadcast({ord(c): p for c, p in canon.prototypes(spark).items()})
+    n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         make = canon.skeleton(table)
         for b in batches:
-            pairs = [(xxhash.xxh3_128_digest(make.of(t)), xxhash.xxh3_128_digest(t)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["s", "f"])
-
-    hashes = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "s binary, f binary")
-    forms = hashes.groupBy("s", "f").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        forms.groupBy("s").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("forms"))
-        .where("forms > 1").select(F.lower(F.hex("s")).alias("skeleton_hash"), "rows", "forms")
-    )
+            texts = b.column(n).to_pylist()
+            hashes = [[xxhash.xxh3_128_digest(make.looks(t, shared.value)) for t in texts], [xxhash.xxh3_128_digest(t) for t in texts]]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(h, pa.binary()) for h in hashes)], names=[*names, "_s", "_f"])
+
+    kept = df.where(F.col(text).isNotNull()).select(*keys, text)
+    names = kept.columns[:-1]
+    hashed = cut(kept.mapInArrow(run, "".join(f"`{k}` {t}, " for k, t in kept.dtypes[:-1]) + "_s binary, _f binary"))
+    forms = hashed.groupBy("_s", "_f").agg(F.count(F.lit(1)).alias("n"))
+    groups = forms.groupBy("_s").agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_forms")).where("_forms > 1")
+    members = join_with_hot(hashed, cut(groups), "_s", "_rows").where("_forms is not null")
+    named = lambda c: F.lower(F.hex(c))
+    return members.select(*names, named("_s").alias("skeleton_hash"), named("_f").alias("form_hash"), F.col("_rows").alias("rows"), F.col("_forms").alias("forms"))

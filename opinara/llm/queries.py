@@ -61,8 +61,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_skeleton_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _table(spark, sf_dir, "dataset").select("text").unionByName(_table(spark, sf_dir, "synthetic_v1").select("text"))
-    return p5_confusables.skeleton_groups(texts, "text", [])
+    rows = [_table(spark, sf_dir, t).select(F.lit(t).alias("rec_table"), F.col(k).cast("string").alias("rec_key"), "text") for t, k in (("dataset", "row_no"), ("synthetic_v1", "id"))]
+    return p5_confusables.skeleton_groups(rows[0].unionByName(rows[1]), "text", ["rec_table", "rec_key"])
 
 
 def _quotas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -79,7 +79,11 @@ def test_confusables_queries(spark):
     rows = [(1, "café", "e"), (2, "café", "e"), (3, None, "e"), (4, "", "e"), (5, "té", "e"), (2, "café", "e"), (6, "с" * 50_000 + "a", "e")]
     df = spark.createDataFrame(rows, SCHEMA.replace("extra", "odd"))
     assert sorted(r.k for r in p5_confusables.odd_rows(df, "t", ["k"]).collect()) == [2, 6]
-    assert [(r.rows, r.forms) for r in p5_confusables.skeleton_groups(df, "t", ["k"]).collect()] == [(3, 2)]
+    groups = p5_confusables.skeleton_groups(df, "t", ["k"]).collect()
+    assert sorted(r.k for r in groups) == [1, 2, 2] and {(r.rows, r.forms) for r in groups} == {(3, 2)} and len({r.form_hash for r in groups}) == 2
+    pairs = [("coco", "сосо"), ("a-b", "a‐b"), ("a-b", "a–b"), ("l1", "ll"), ("rn", "m"), ("10", "lO"), ("Ｗｉｄｅ", "Wide"), ("été", "e\u0301te\u0301"), ("x", "y"), ("caña", "cana")]
+    looks = spark.createDataFrame([(2 * i + j, f"{chr(0x4e00 + i)} {t}", 0) for i, p in enumerate(pairs) for j, t in enumerate(p)], "k int, t string, rows int")
+    assert {r.k // 2 for r in p5_confusables.skeleton_groups(looks, "t", ["k"]).collect()} == set(range(8))
     assert p5_confusables.odd_rows(df.limit(0), "t", ["k"]).count() == 0
     assert {r.k: r.odd for r in p5_confusables.with_skeleton(df.where("k in (1, 3)"), "t", ["k"]).collect()} == {1: False, 3: False}
 
