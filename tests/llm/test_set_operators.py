@@ -133,13 +133,36 @@ def test_quota_sample(spark):
     plans = spark.createDataFrame(rows, "plan_id string, bucket string, language string, target_gold map<string,string>, quota_id int")
     sample, report = p6_sample.quota_sample(plans, quota)
     got = {r.quota_id: (r.available, r.drawn, r.short) for r in report.collect()}
-    # 62 units, a quarter is 15
-    assert got == {"q1": (40, got["q1"][1], False), "q2": (20, 20, True), "q3": (0, 0, True)} and got["q1"][1] in (7, 8)
+    # 62 units, a quarter is 15; the floors are 20, as far as the units of q2 go, and 2
+    assert got == {"q1": (40, 2, False), "q2": (20, 20, True), "q3": (0, 0, True)}
     assert sample.count() == sum(g[1] for g in got.values())
     # every category has a floor above 0
     assert p6_sample.quota_sample(plans.limit(0), quota)[1].where("short").count() == 3
 
 
+def test_sample_has_its_size_and_margins(spark):
+    """Floors are kept, the size is exact, shares of buckets and languages are met although one cell can't give its part."""
+    random.seed(6)
+    cells = [(b, lang, g) for b in "abc" for lang in ("es", "en") for g in (0, 1)]
+    plans, i = [], 0
+    for c in cells:
+        for _ in range(5 if c == ("a", "es", 0) else random.randrange(150, 400)):
+            plans.append((f"p{i}", c[0], c[1], {"x": "y"} if c[2] else {}))
+            i += 1
+    shares = {c: 0.02 if c[0] == "c" else 0.115 for c in cells}
+    quota = [(f"q{k}", *c, shares[c], 25 if c[0] == "c" else 3) for k, c in enumerate(cells)]
+    sample, report = p6_sample.quota_sample(spark.createDataFrame(plans, "plan_id string, bucket string, language string, target_gold map<string,string>"), spark.createDataFrame(quota, "quota_id string, bucket string, language string, gold_labels int, target_share double, min_rows int"))
+    n = len(plans) // 4
+    assert sample.count() == n
+    rows = {r.quota_id: r for r in report.collect()}
+    assert [q for q, r in sorted(rows.items()) if r.short] == ["q0"]
+    assert all(rows[q].drawn >= min(f, rows[q].available) for q, _, _, _, _, f in quota)
+    assert abs(sum(r.share for r in rows.values()) - 1) < 1e-9
+    by = lambda place, v: sum(rows[q[0]].share for q in quota if q[place] == v)
+    # the floors of c take more than its share; a and b are even, and so are the languages
+    assert abs(by(1, "a") - by(1, "b")) < 0.02 and abs(by(2, "es") - 0.5) < 0.02 and abs(by(3, 0) - 0.5) < 0.02
+
+
 def test_plan_is_best_fit_decreasing():
     random.seed(2)
     for capacity in (10, 37, 100):
