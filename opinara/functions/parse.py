@@ -139,24 +139,27 @@ def read_labels(text: str | None) -> dict[str, str]:
     return {}
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def _scan_labels(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else read_labels(t), na_action=None)
+#: A text with one flat object and no other bracket, in straight quotes.
+_LONE = re.compile(r"[^\[{}\]]*(\{[^\[{}\]“”']*\})[^\[{}\]]*")
+
 
+def quick_labels(text: str | None) -> dict[str, str]:
+    """read_labels, with strict JSON where one flat object is all there is behind the reasoning."""
+    lone = _LONE.fullmatch(text.rpartition("</think>")[2]) if text else None
+    if lone:
+        try:
+            value = json.loads(lone[1])
+        except ValueError:
+            value = None
+        if value == {} or value and (labels := labels_of(value)):
+            return labels if value else {}
+    return read_labels(text)
 
-def extract_labels(text: Column | str) -> Column:
-    """Generated text -> label map; empty where nothing can be read.
 
-    What ends in one flat JSON object and has no other bracket behind its reasoning is read in the JVM; the scanner
-    in Python gets the other texts only.
-    """
-    text = F.col(text) if isinstance(text, str) else text
-    lone = F.regexp_extract(F.substring_index(text, "</think>", -1), r"^[^\[{}\]]*(\{[^\[{}\]“”']*\})[^\[{}\]]*$", 1)
-    strict = F.from_json(F.nullif(lone, F.lit("")), "map<string,string>")
-    labels = normalize_labels(strict)
-    easy = F.when(strict.isNotNull() & ((F.size(labels) > 0) | (F.size(strict) == 0)), labels)
-    none = F.create_map().cast("map<string,string>")
-    return F.coalesce(easy, _scan_labels(F.when(easy.isNull(), text)), none)
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def extract_labels(text: pd.Series) -> pd.Series:
+    """Generated text -> label map; empty where nothing can be read. In Arrow batches."""
+    return text.map(quick_labels, na_action=None)
 
 
 def first_object(text: str | None) -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opinara.functions.arith import md5_uniform, rarity
 from opinara.functions.schema import BUCKET_QUOTAS, MARKUP, PRIORITY_WEIGHTS, TASK_MARKERS
 from opinara.functions.text import contains_any, normalize, word_count
+from opinara.plans.runtime import cut, global_rank
 
 
 def _priority(aspect: Column) -> Column:
@@ -80,9 +81,9 @@ def weighted_sample(rows: DataFrame, key: str, weight: Column, k: int, seed: int
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """rows with position, their place in a repeatable random order. A global order, written range by range."""
+    """rows with position, their place in a repeatable random order, numbered range by range."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(digest, key)))
+    return global_rank(rows, [digest, key], "position")
 
 
 #: Classes of rows, and of plans, that one task of style_seeds compares at a time.
@@ -188,8 +189,6 @@ def reject_reason_in_order(rows: DataFrame, reference: DataFrame, key: str, othe
     than most_reference similar to a reference text, or more than most_accepted to an accepted one before it, in order
     of key. reference has other, text and grams.
     """
-    from opinara.plans.runtime import cut
-
     left = cut(rows.where(F.col(reason).isNull()).select(key, text, grams))
     copies = duplicate_of(left, reference, text).select(key, F.lit("exact duplicate text").alias("r0"))
     similar = similar_pairs(left, reference, key, other, grams, most_reference).select(F.col("x").alias(key), F.lit("too similar to train or devel").alias("r1")).distinct()
@@ -264,8 +263,6 @@ def accept_in_order(candidates: DataFrame, key: str, near: DataFrame) -> DataFra
     What depends on the order is settled on those pairs alone: in each round, a candidate all of whose earlier
     neighbours are settled is settled too.
     """
-    from opinara.plans.runtime import cut
-
     near = cut(near)
     open_, out = cut(near.select(F.explode(F.array("x", "y")).alias(key)).distinct()), None
     edges = near
@@ -290,5 +287,5 @@ def accept_greedily(candidates: DataFrame, key: str, grams: str, limit: float =
 
 def numbered(rows: DataFrame, order: list[str], prefix: str = "synth_v1_") -> DataFrame:
     """rows with new_id: prefix and a number of four digits or more, in order."""
-    n = F.row_number().over(Window.orderBy(*order)).cast("string")
-    return rows.withColumn("new_id", F.concat(F.lit(prefix), F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)))
+    n = F.col("_number").cast("string")
+    return global_rank(rows, order, "_number").withColumn("new_id", F.concat(F.lit(prefix), F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n))).drop("_number")

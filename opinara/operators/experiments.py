@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.arith import composite
+from opinara.plans.runtime import global_rank
 
 
 def grid(spark: SparkSession, axes: dict[str, list[float]], steps: dict[str, float] | None = None) -> DataFrame:
@@ -72,7 +73,7 @@ def trial_ranking(trials: DataFrame, name: str) -> DataFrame:
 
 def window_of(rows: DataFrame, order: str, offset: int, limit: int | None) -> DataFrame:
     """Rows offset to offset + limit in the order of a unique column, with their position."""
-    at = rows.withColumn("position", F.row_number().over(Window.orderBy(order)) - 1)
+    at = global_rank(rows, [order], "position").withColumn("position", F.col("position") - 1)
     return at.where((F.col("position") >= offset) & ((F.col("position") < offset + limit) if limit is not None else F.lit(True)))
 
 
@@ -88,8 +89,14 @@ def spaced(rows: DataFrame, order: str, start: int, limit: int | None) -> DataFr
 
 
 def middle_and_longest(rows: DataFrame, length: str, key: str) -> DataFrame:
-    """Two rows: the record of middle length (the upper one of two) and the longest; ties by key."""
+    """Two rows: the record of middle length (the upper one of two) and the longest; ties by key. Rows of null length take no part.
+
+    length is a whole number. The length at the middle is an exact percentile, and only the rows that have it are numbered.
+    """
+    rows = rows.where(F.col(length).isNotNull())
     n = rows.count()
-    mid = rows.orderBy(length, key).offset(n // 2).limit(1).select(F.lit("middle").alias("which"), key, length)
-    most = rows.agg(F.max_by(F.struct(key, length), F.struct(F.col(length), -F.col(key))).alias("x")).select(F.lit("longest").alias("which"), f"x.{key}", f"x.{length}")
+    middle = round(rows.agg(F.percentile(length, (n // 2) / (n - 1))).first()[0]) if n > 1 else rows.agg(F.max(length)).first()[0]
+    place = n // 2 + 1 - rows.where(F.col(length) < F.lit(middle)).count()
+    mid = global_rank(rows.where(F.col(length) == F.lit(middle)), [key], "_place").where(F.col("_place") == place).select(F.lit("middle").alias("which"), key, length)
+    most = rows.agg(F.max_by(F.struct(key, length), F.struct(F.col(length), -F.col(key))).alias("x")).where("x is not null").select(F.lit("longest").alias("which"), f"x.{key}", f"x.{length}")
     return mid.unionByName(most)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.arith import md5_uniform
 from opinara.functions.schema import MMR_LAMBDA, MMR_LAMBDA_OTHER
+from opinara.plans.runtime import global_rank
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
@@ -68,7 +69,7 @@ def random_dynamic(queries: DataFrame, corpus: DataFrame, key: str, k: int, seed
     of the result is one lookup and no pair is formed that isn't chosen.
     """
     n = corpus.count()
-    numbered = corpus.select(key, F.row_number().over(Window.orderBy(md5_uniform(F.lit(str(seed)), F.col(key).cast("string")), key)).alias("i"))
+    numbered = global_rank(corpus.select(key), [md5_uniform(F.lit(str(seed)), F.col(key).cast("string")), key], "i")
     start = F.floor(md5_uniform(F.lit(f"{seed}q"), F.col(key).cast("string")) * n).cast("long")
     wants = queries.select(F.col(key).alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(min(k, n - 1)))).alias("j"), start.alias("s")).select("query_id", "j", (F.pmod(F.col("s") + F.col("j"), F.lit(n)) + 1).alias("i"))
     got = wants.join(numbered, "i").where(F.col("query_id") != F.col(key))

@@ -38,14 +38,34 @@ def join_with_hot(left: DataFrame, right: DataFrame, key: str, size: str, limit:
     return left.join(F.broadcast(hot), key).unionByName(cold)
 
 
-def rank_in_group(df: DataFrame, group: list[str], order: list[Column], rank: str, salts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column | str], rank: str = "rank", down: tuple[int, ...] = ()) -> DataFrame:
+    """df with its 1-based place (long) in a total order, without one task for all rows.
+
+    Rows are spread by ranges of the order and written to the checkpoint folder; each range is numbered by itself and
+    moved by the rows of the ranges before it, of which there are as many as partitions. The columns of order at the
+    places in ``down`` descend. Rows that the order doesn't tell apart stand next to each other in any order.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    names = [f"_o{i}" for i in range(len(cols))]
+    keyed = df.withColumns(dict(zip(names, cols, strict=True)))
+    ways = [F.desc(c) if i in down else F.asc(c) for i, c in enumerate(names)]
+    ranged = cut(keyed.repartitionByRange(*ways).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*ways))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(rank, (F.col("_own") + F.col("_before")).cast("long")).select(*df.columns, rank)
+
+
+def rank_in_group(df: DataFrame, group: list[str], order: list[Column], rank: str, salts: Column | int = 64) -> DataFrame:
     """0-based rank within group, without one task per group.
 
-    Every group is split by a hash of its rows into ``salts`` parts; each part is ranked by itself and moved by the
-    number of rows in the parts before it.  The rank is dense and repeatable, and follows ``order`` within a part only:
-    use it where any fixed numbering will do.
+    Every group is split by a hash of its rows into ``salts`` parts, a number or a column that is the same within a
+    group; each part is ranked by itself and moved by the number of rows in the parts before it.  The rank is dense
+    and repeatable, and follows ``order`` within a part only: use it where any fixed numbering will do.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    many = F.lit(salts) if isinstance(salts, int) else salts
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), many).cast("int"))
     key = [*group, "_salt"]
     sizes = salted.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

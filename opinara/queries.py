@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import arith, parse, schema, text
 from opinara.operators import augment, baselines, experiments, features, metrics, profile, retrieval
-from opinara.plans.runtime import cut
+from opinara.plans.runtime import cut, global_rank
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -324,7 +324,7 @@ cn AS (SELECT id, count(*) n FROM c GROUP BY 1), rn AS (SELECT id, count(*) n FR
 s AS (SELECT c.id, max(both_ / (cn.n + rn.n - both_)) m FROM (SELECT c.id, r.id rid, count(*)::DOUBLE both_ FROM c JOIN r USING (g) GROUP BY 1, 2) c JOIN cn ON cn.id = c.id JOIN rn ON rn.id = c.rid GROUP BY 1)
 SELECT plan_key, round(coalesce(m, 0), 4) max_sim FROM (SELECT row_number() OVER (ORDER BY id, accepted_at) plan_key FROM synthetic_v1) LEFT JOIN s ON s.id = plan_key""")
 def q_ngram_max_similarity(spark, d):
-    rows = _t(spark, d, "synthetic_v1").withColumn("plan_key", F.row_number().over(Window.orderBy("id", "accepted_at")))
+    rows = global_rank(_t(spark, d, "synthetic_v1"), ["id", "accepted_at"], "plan_key")
     found = augment.max_similarity(_grams(rows, "plan_key"), _grams(_t(spark, d, "documents"), "doc_id"), "plan_key", "grams")
     return found.select("plan_key", F.round("max_sim", 4).alias("max_sim"))
 
@@ -332,7 +332,7 @@ def q_ngram_max_similarity(spark, d):
 @query()
 def q_reference_similarity(spark, d):
     """The reference's comparison, with the train and devel reviews; q_ngram_max_similarity and its SQL take documents."""
-    rows = _t(spark, d, "synthetic_v1").withColumn("plan_key", F.row_number().over(Window.orderBy("id", "accepted_at")))
+    rows = global_rank(_t(spark, d, "synthetic_v1"), ["id", "accepted_at"], "plan_key")
     found = augment.max_similarity(_grams(rows, "plan_key"), _grams(_t(spark, d, "dataset").where("split in ('train', 'devel')"), "row_no"), "plan_key", "grams")
     return found.select("plan_key", F.round("max_sim", 4).alias("max_sim"))
 
@@ -403,7 +403,7 @@ def _whole_reasons(spark, d):
     rows = _t(spark, d, "synthetic_v1").select("id", "accepted_at", "text")
     firsts = _reasons(spark, d).groupBy("id").agg(F.min_by(F.struct("accepted_at", "bucket", "reason"), "accepted_at").alias("f")).select("id", "f.*")
     texts = rows.groupBy("id").agg(F.min_by("text", "accepted_at").alias("text"))
-    ordered = firsts.join(texts, "id").withColumn("place", F.row_number().over(Window.orderBy("accepted_at", "id"))).withColumn("grams", _hashed(F.col("text")))
+    ordered = global_rank(firsts.join(texts, "id"), ["accepted_at", "id"], "place").withColumn("grams", _hashed(F.col("text")))
     reference = _t(spark, d, "dataset").where("split in ('train', 'devel')").select("row_no", "text", _hashed(F.col("text")).alias("grams"))
     ordered = cut(ordered)
     told = augment.reject_reason_in_order(ordered, reference, "place", "row_no", "reason", "text", "grams")
@@ -479,7 +479,7 @@ def q_weighted_sample(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', doc_id::VARCHAR)), doc_id)::INT AS \"position\" FROM documents")
 def q_shuffle(spark, d):
-    return augment.shuffled(_t(spark, d, "documents"), "doc_id", 42).select("doc_id", "position")
+    return augment.shuffled(_t(spark, d, "documents"), "doc_id", 42).select("doc_id", F.col("position").cast("int").alias("position"))
 
 
 @query("SELECT round_even(count(*) * 0.675, 0)::BIGINT first_language, (count(*) - round_even(count(*) * 0.675, 0))::BIGINT second_language FROM synthetic_v1")
@@ -497,8 +497,8 @@ def q_synth_ids(spark, d):
 @query("SELECT l_orderkey * 1 id, 1 side FROM lineitem WHERE false UNION ALL SELECT row_number() OVER (ORDER BY side, k) - 1 id, side FROM (SELECT 0 side, row_no k FROM dataset WHERE split = 'train' UNION ALL SELECT 1, row_number() OVER (ORDER BY id, accepted_at) FROM synthetic_v1)")
 def q_concatenate(spark, d):
     first = _t(spark, d, "dataset").where("split = 'train'").select(F.lit(0).alias("side"), F.col("row_no").cast("long").alias("k"))
-    second = _t(spark, d, "synthetic_v1").select(F.lit(1).alias("side"), F.row_number().over(Window.orderBy("id", "accepted_at")).cast("long").alias("k"))
-    return first.unionByName(second).select((F.row_number().over(Window.orderBy("side", "k")) - 1).cast("long").alias("id"), "side")
+    second = global_rank(_t(spark, d, "synthetic_v1").select("id", "accepted_at"), ["id", "accepted_at"], "k").select(F.lit(1).alias("side"), "k")
+    return global_rank(first.unionByName(second), ["side", "k"], "place").select((F.col("place") - 1).alias("id"), "side")
 
 
 @query()
@@ -718,12 +718,12 @@ def q_resume(spark, d):
 
 @query("WITH n AS (SELECT count(*) n FROM documents), p AS (SELECT DISTINCT round_even(i * (n - 1) / 36.0, 0)::BIGINT p FROM n, range(0, 37) t(i)) SELECT doc_id, p::INT AS \"position\" FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 p FROM documents) JOIN p USING (p)")
 def q_spaced_sample(spark, d):
-    return experiments.spaced(_t(spark, d, "documents"), "doc_id", 0, 37).select("doc_id", "position")
+    return experiments.spaced(_t(spark, d, "documents"), "doc_id", 0, 37).select("doc_id", F.col("position").cast("int").alias("position"))
 
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS \"position\" FROM documents ORDER BY doc_id LIMIT 25 OFFSET 100")
 def q_slice(spark, d):
-    return experiments.window_of(_t(spark, d, "documents"), "doc_id", 100, 25).select("doc_id", "position")
+    return experiments.window_of(_t(spark, d, "documents"), "doc_id", 100, 25).select("doc_id", F.col("position").cast("int").alias("position"))
 
 
 @query("(SELECT 'middle' which, doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 1 OFFSET (SELECT count(*) // 2 FROM documents)) UNION ALL (SELECT 'longest', doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1)")

@@ -88,3 +88,24 @@ def test_stream_equals_batch(spark, tmp_path):
     scoring.score_stream(stream, "language", "prediction", "gold", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {tuple(r) for r in scoring.total(spark, str(tmp_path / "out"), "language").collect()}
     assert got == {tuple(r) for r in scoring.batch_sums(rows, "language", "prediction", "gold").collect()}
+
+
+def test_global_rank(spark):
+    from pyspark.sql import functions as F
+
+    from opinara.plans.runtime import global_rank
+
+    rows = spark.range(2000).withColumn("k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.pmod(F.xxhash64("id"), F.lit(50))))
+    got = [(r.k, r.id, r.n) for r in global_rank(rows, ["k", "id"], "n", down=(1,)).collect()]
+    assert [x[2] for x in sorted(got, key=lambda x: (x[0], -x[1]))] == list(range(1, 2001))
+    assert global_rank(rows.limit(0), ["k"], "n").count() == 0
+
+
+def test_middle_and_longest(spark):
+    from opinara.operators.experiments import middle_and_longest
+
+    for lengths in ([5], [3, 3], [1, 2, 2, 2, 9], [4, 1, None, 4, 4, 7, 7], []):
+        rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "k long, n long")
+        got = {r.which: (r.k, r.n) for r in middle_and_longest(rows, "n", "k").collect()}
+        held = sorted((n, i) for i, n in enumerate(lengths) if n is not None)
+        assert got == ({"middle": held[len(held) // 2][::-1], "longest": max(((i, n) for n, i in held), key=lambda x: (x[1], -x[0]))} if held else {})
