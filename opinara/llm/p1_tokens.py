@@ -7,9 +7,9 @@ where a piece leaves the one before.  The state of a prefix is its last token an
 exact: a sequence of tokens is the encoding of its bytes if, and only if, every two neighbours are the encoding of
 their own bytes, so exactly one vocabulary suffix of a prefix can follow the state before it.
 
-The terminal counts then go back to the documents: those of the most frequent pieces (``KNOWN`` at most, of 64
-characters at most) as a table in every task, the others by a join on the piece.  No piece outside the table is
-frequent, so no join key is hot.
+The terminal counts then go back to the documents: those of the most frequent pieces, of any length (``KNOWN`` at
+most, of ``KNOWN_CHARACTERS`` together) as a table in every task, the others by a join on the piece.  No piece outside
+the table is frequent, so no join key is hot.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from opinara.plans.runtime import cut
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KNOWN = 1 << 18
+KNOWN, KNOWN_CHARACTERS = 1 << 18, 1 << 24
 HELD = 200_000
 
 
@@ -49,10 +49,10 @@ def _pattern(pattern: str = PATTERN):
 class TrieWalk:
     """Token counts of byte strings given in byte order, from the states of the prefixes they share."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, ranks: dict[bytes, int]) -> None:
         import tiktoken
 
-        self.ranks = _ranks(path)
+        self.ranks = ranks
         self.bytes = {i: b for b, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
@@ -108,8 +108,11 @@ def piece_tokens(texts: DataFrame, text: str, vocabulary: str = VOCABULARY) -> D
                 held.clear()
         yield out()
 
+    # the file of the vocabulary is read on the driver only
+    ranks = texts.sparkSession.sparkContext.broadcast(_ranks(vocabulary))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = TrieWalk(vocabulary)
+        trie = TrieWalk(ranks.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([trie.tokens(p.encode()) for p in b.column(0).to_pylist()], pa.int32())], names=["piece", "n", "tokens"])
 
@@ -118,19 +121,18 @@ def piece_tokens(texts: DataFrame, text: str, vocabulary: str = VOCABULARY) -> D
 
 
 def _frequent(pieces: DataFrame, most: int) -> dict[str, int]:
-    """The tokens of the most frequent pieces; a level of frequency is taken as a whole or not at all."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    short = pieces.where(F.length("piece") <= 64)
-    levels = sorted(short.groupBy(step.alias("level")).count().collect(), reverse=True)
-    least, total = None, 0
-    for level, n in levels:
-        total += n
-        if total > most:
+    """The tokens of the most frequent pieces; a level of frequency is taken as a whole or not at all, and pieces of over 256 characters only where they are many."""
+    step = F.floor(F.log2("n") * 8).cast("int") - F.greatest(F.lit(0), F.floor(F.log2(F.length("piece") / 32) * 8).cast("int"))
+    levels = sorted(((r.level, r.n, r.size) for r in pieces.groupBy(step.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("piece")).alias("size")).collect()), reverse=True)
+    least, total, size = None, 0, 0
+    for level, n, characters in levels:
+        total, size = total + n, size + characters
+        if total > most or size > KNOWN_CHARACTERS:
             break
         least = level
     if least is None:
         return {}
-    found = short.where(step >= least).select("piece", "tokens").toArrow()
+    found = pieces.where(step >= least).select("piece", "tokens").toArrow()
     return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
 
 

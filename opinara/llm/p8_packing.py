@@ -60,25 +60,32 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Slot], int]:
     return slots, opened
 
 
+#: Items of one length that one task ranks, ranks that one join key of the slots covers, and most specs (each is planned on the driver).
+RANKED, BLOCK, SPECS = 200_000, 100_000, 10_000
+
+
 def pack(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "spec_name", capacity: str = "capacity_tokens", small: int = 200_000) -> DataFrame:
     """spec_name, container_id, doc_id, part, from_token, n_tokens.
 
     For every spec, every document is in a container, whole, unless it exceeds the capacity: then it is cut into
     parts of the capacity and one of the rest. Containers of a spec are numbered from 0, and none holds more than
     the capacity. Documents without tokens (null and empty texts) have one part of 0 tokens and container null. A
-    spec with null or no positive capacity holds nothing. Ranks that tie are settled by a hash of the key.
+    spec with null or no positive capacity holds nothing; of a spec given twice the least capacity counts, and more
+    than SPECS specs are refused. Ranks that tie are settled by a hash of the key.
 
     The plan has some slots for each length that occurs; it goes to every task if it has at most ``small`` rows and
-    is joined on (spec, length) otherwise. Ranks within a length are counted in 64 salted parts, so that one
-    length may hold any share of all items.
+    is joined on (spec, length, block of ranks) otherwise. Ranks within a length are counted in parts of about RANKED
+    items, as the histogram says, so that one length may hold any share of all items.
     """
     spark = documents.sparkSession
     sizes = cut(with_tokens(documents, text, [key]))
-    wanted = specs.where(F.col(capacity) > 0).select(F.col(name).alias("spec"), F.col(capacity).cast("long").alias("cap")).dropDuplicates(["spec"])
+    named = specs.where((F.col(capacity) > 0) & F.col(name).isNotNull()).groupBy(F.col(name).alias("spec")).agg(F.min(F.col(capacity).cast("long")).alias("cap")).limit(SPECS + 1).collect()
+    if len(named) > SPECS:
+        raise ValueError(f"more than {SPECS} specs")
+    every = F.array(*(F.struct(F.lit(r.spec).alias("spec"), F.lit(r.cap).cast("long").alias("cap")) for r in named)) if named else F.array().cast("array<struct<spec:string,cap:bigint>>")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("cap")).cast("long"))
     items = (
-        # specs are few rows of a fixed table
-        sizes.join(F.broadcast(wanted)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        sizes.withColumn("_w", F.explode(every)).select(key, "n_tokens", "_w.spec", "_w.cap").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         .select("spec", "cap", key, "part", (F.col("part") * F.col("cap")).alias("from_token"), F.least("cap", F.col("n_tokens") - F.col("part") * F.col("cap")).alias("length"))
     )
     # at most one row for each length up to the capacities
@@ -87,9 +94,17 @@ def pack(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: str
         histogram.setdefault((r.spec, r.cap), {})[r.length] = r.n
     rows = [(spec, *slot) for (spec, cap), h in histogram.items() for slot in plan(h, cap)[0]]
     slots = spark.createDataFrame(rows, "spec string, length long, first long, last long, start long, each long")
-    ranked = rank_in_group(items.where("length > 0"), ["spec", "length"], [F.col(key), F.col("part")], "rank")
-    placed = ranked.join(F.broadcast(slots) if len(rows) <= small else slots, (ranked["spec"] == slots["spec"]) & (ranked["length"] == slots["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
-    out = placed.select(ranked["spec"].alias("spec_name"), (F.col("start") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("long").alias("container_id"), key, "part", "from_token", ranked["length"].alias("n_tokens"))
+    # lengths of more than RANKED items: at most the items over RANKED
+    many = [(spec, length, -(-n // RANKED)) for (spec, _), h in histogram.items() for length, n in h.items() if n > RANKED]
+    salts = F.broadcast(spark.createDataFrame(many, "spec string, length long, _salts int"))
+    salted = items.where("length > 0").join(salts, ["spec", "length"], "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    ranked = rank_in_group(salted, ["spec", "length"], [F.col(key), F.col("part")], "rank", F.col("_salts")).withColumn("block", F.floor(F.col("rank") / BLOCK))
+    if len(rows) <= small:
+        slots, on = F.broadcast(slots), ["spec", "length"]
+    else:
+        slots, on = slots.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("last") - 1) / BLOCK)))), ["spec", "length", "block"]
+    placed = ranked.join(slots, on).where("rank >= first and rank < last")
+    out = placed.select(F.col("spec").alias("spec_name"), (F.col("start") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("long").alias("container_id"), key, "part", "from_token", F.col("length").alias("n_tokens"))
     nothing = items.where("length = 0").select(F.col("spec").alias("spec_name"), F.lit(None).cast("long").alias("container_id"), key, "part", "from_token", F.col("length").alias("n_tokens"))
     return out.unionByName(nothing)
 
@@ -97,7 +112,7 @@ def pack(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: str
 def fill_report(packed: DataFrame, specs: DataFrame, name: str = "spec_name", capacity: str = "capacity_tokens") -> DataFrame:
     """spec_name, containers, items, tokens, least_containers (tokens over capacity, rounded up), fill (tokens over room), overfull (containers beyond capacity)."""
     filled = packed.where("container_id is not null").groupBy("spec_name", "container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("i"))
-    caps = specs.select(F.col(name).alias("spec_name"), F.col(capacity).alias("cap"))
+    caps = specs.where(F.col(capacity) > 0).groupBy(F.col(name).alias("spec_name")).agg(F.min(capacity).alias("cap"))
     return filled.join(F.broadcast(caps), "spec_name").groupBy("spec_name").agg(
         F.count(F.lit(1)).alias("containers"), F.sum("i").alias("items"), F.sum("t").alias("tokens"), F.max("cap").alias("cap"), F.count_if(F.col("t") > F.col("cap")).alias("overfull")
     ).select("spec_name", "containers", "items", "tokens", F.ceil(F.col("tokens") / F.col("cap")).alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * F.col("cap")), 6).alias("fill"), "overfull")

@@ -48,64 +48,73 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
     The documents of a source are spread over shards by a seeded hash and stand in seeded order there; a block is the documents that begin within the
     same block_tokens of their shard. Blocks are dealt to sources by the highest quotients of their weights, at most
-    max_repeats times the blocks they have; a source's quota is dealt to its shards the same way, in proportion to
-    their blocks, and a shard repeats all its blocks as often as its quota allows and takes the rest by seeded rank.
+    max_repeats times the blocks they have; a source's quota is dealt to its shards in proportion to their blocks
+    (``shard_quotas``), and a shard repeats all its blocks as often as its quota allows and takes the rest by seeded rank.
     total_tokens is the size of the mix; by default the largest at which every source that has documents reaches its
     share. Targets are normalised over the sources with documents.
 
     mixed: doc_id, source, n_tokens, copies (1 to max_repeats); documents that aren't taken are left out.
-    report: source, target_share, max_repeats, documents, available, mixed_tokens, share, gap (share less target),
-    repeats (mixed over available). Sources only in the documents have target 0 and sources only in the
+    report: source, target_share, usable_share (the target among the sources that have documents), max_repeats,
+    documents, available, mixed_tokens, share, gap (share less usable_share), repeats (mixed over available). Sources only in the documents have target 0 and sources only in the
     targets no documents; both are reported. Documents of a null source, or without tokens, are never taken. A
     source named by several target rows has their shares together and the least of their caps.
     """
     spark = documents.sparkSession
-    kept = documents.where(F.col(source).isNotNull())
-    sizes = cut(with_tokens(kept, text, [key, source]).select(F.col(key).alias("doc"), F.col(source).alias("source"), "n_tokens"))
-    # one row for each source: sources are named in a fixed table, the others come to a few
-    have = {r.source: r for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count_if(F.col("n_tokens") > 0).alias("n")).collect()}
     goals: dict[str, tuple[float, int]] = {}
+    # as many rows as there are named sources
     for r in targets.select("source", "target_share", "max_repeats").where("source is not null").collect():
         share, cap = goals.get(r.source, (0.0, 1 << 30))
         goals[r.source] = (share + max(r.target_share or 0.0, 0.0), min(cap, r.max_repeats if r.max_repeats is not None else 1))
+    kept = documents.where(F.col(source).isNotNull())
+    sizes = cut(with_tokens(kept, text, [key, source]).select(F.col(key).alias("doc"), F.col(source).alias("source"), "n_tokens"))
+    totals = cut(sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count_if(F.col("n_tokens") > 0).alias("n")))
+    wanted = F.broadcast(spark.createDataFrame([(s, *g) for s, g in goals.items()], "source string, target_share double, max_repeats int"))
+    have = {r.source: r for r in totals.join(wanted, "source", "left_semi").collect()}
     usable = {s: g for s, g in goals.items() if s in have and have[s].t > 0 and g[0] > 0 and g[1] > 0}
     whole = sum(g[0] for g in usable.values())
     most = min((have[s].t * cap / (share / whole) for s, (share, cap) in usable.items()), default=0)
     total = most if total_tokens is None else total_tokens
-    shards = {s: max(1, round(have[s].t / shard_tokens)) for s in usable}
-    names = spark.createDataFrame([(s, n) for s, n in shards.items()], "source string, shards int")
+    names = spark.createDataFrame([(s, max(1, round(have[s].t / shard_tokens))) for s in usable], "source string, shards int")
     hashed = sizes.where("n_tokens > 0").join(F.broadcast(names), "source").withColumn("h", F.xxhash64("doc", F.lit(seed)))
     spread = hashed.withColumn("shard", F.pmod(F.xxhash64("h"), F.col("shards")).cast("int"))
     before = Window.partitionBy("source", "shard").orderBy("h", "doc").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut(spread.withColumn("block", F.floor(F.coalesce(F.sum("n_tokens").over(before), F.lit(0)) / block_tokens).cast("long")).select("doc", "source", "n_tokens", "shard", "block"))
-    # a row for each shard of shard_tokens
-    per = blocks.groupBy("source", "shard").agg(F.count_distinct("block").alias("n"), F.sum("n_tokens").alias("t")).collect()
-    count: dict[str, int] = {}
-    tokens: dict[str, int] = {}
-    for r in per:
-        count[r.source] = count.get(r.source, 0) + r.n
-        tokens[r.source] = tokens.get(r.source, 0) + r.t
+    per = cut(blocks.groupBy("source", "shard").agg(F.count_distinct("block").alias("n"), F.sum("n_tokens").alias("t")))
+    held = {r.source: r for r in per.groupBy("source").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
     # a source's blocks differ in size by what its last document of a block runs over: weigh by its own mean
-    mean = {s: tokens[s] / count[s] for s in count}
-    seats = round(sum(total * usable[s][0] / whole / mean[s] for s in count))
-    quota = sainte_lague({s: usable[s][0] / mean[s] for s in count}, {s: usable[s][1] * count[s] for s in count}, seats)
-    dealt = []
-    for s in count:
-        own = {f"{r.shard:08d}": r for r in per if r.source == s}
-        for name, q in sainte_lague({k: float(r.n) for k, r in own.items()}, {k: usable[s][1] * r.n for k, r in own.items()}, quota[s]).items():
-            dealt.append((s, int(name), q // own[name].n, q % own[name].n))
-    deals = spark.createDataFrame(dealt, "source string, shard int, rounds long, more long")
+    mean = {s: r.t / r.n for s, r in held.items()}
+    seats = round(sum(total * usable[s][0] / whole / mean[s] for s in mean))
+    quota = sainte_lague({s: usable[s][0] / mean[s] for s in mean}, {s: usable[s][1] * held[s].n for s in mean}, seats)
+    deals = shard_quotas(per, spark.createDataFrame([(s, quota[s], held[s].n) for s in mean], "source string, quota long, whole long"))
     few = blocks.select("source", "shard", "block").distinct()
     rank = Window.partitionBy("source", "shard").orderBy(F.xxhash64("source", "shard", "block", F.lit(seed + 1)), "block")
     taken = few.withColumn("r", F.row_number().over(rank)).join(deals, ["source", "shard"]).select("source", "shard", "block", (F.col("rounds") + (F.col("r") <= F.col("more")).cast("long")).alias("copies")).where("copies > 0")
     mixed = cut(blocks.join(taken, ["source", "shard", "block"]).select(F.col("doc").alias(key), "source", "n_tokens", "copies"))
-    got = {r.source: r.t for r in mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
-    all_ = sum(got.values())
-    lines = []
-    for s in sorted(set(goals) | set(have)):
-        share, cap = goals.get(s, (0.0, 0))
-        here, mine = have.get(s), got.get(s, 0)
-        t = int(here.t or 0) if here else 0
-        lines.append((s, share, int(cap), int(here.n) if here else 0, t, int(mine), mine / all_ if all_ else 0.0, (mine / all_ if all_ else 0.0) - share, mine / t if t else 0.0))
-    report = spark.createDataFrame(lines, "source string, target_share double, max_repeats int, documents long, available long, mixed_tokens long, share double, gap double, repeats double")
+    got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("m"))
+    everything = got.agg(F.sum("m")).first()[0] or 0
+    none = lambda c, kind: F.coalesce(c, F.lit(0).cast(kind))
+    usable_share = spark.createDataFrame([(s, g[0] / whole) for s, g in usable.items()], "source string, usable_share double")
+    lines = totals.join(wanted, "source", "full").join(F.broadcast(usable_share), "source", "left").join(got, "source", "left")
+    share = none("m", "double") / F.lit(float(everything)) if everything else F.lit(0.0)
+    report = lines.select(
+        "source", none("target_share", "double").alias("target_share"), none("usable_share", "double").alias("usable_share"), none("max_repeats", "int").alias("max_repeats"), none("n", "long").alias("documents"), none("t", "long").alias("available"),
+        none("m", "long").alias("mixed_tokens"), share.alias("share"), (share - none("usable_share", "double")).alias("gap"), F.when(F.col("t") > 0, none("m", "double") / F.col("t")).otherwise(0.0).alias("repeats"),
+    )
     return mixed, report
+
+
+def shard_quotas(per: DataFrame, quotas: DataFrame, group: int = 4096) -> DataFrame:
+    """source, shard, rounds, more: each shard's part of its source's quota, as whole turns through its n blocks and some more.
+
+    per has source, shard, n; quotas has source, quota and whole (the blocks of all its shards), a row for each source.
+    A shard gets what the quota times the blocks up to it comes to, rounded down, less the same up to the one before,
+    so the parts sum up to the quota and none is off by one block. Blocks before a shard are summed by groups of
+    shards and then within them, so no task sees all shards of a source.
+    """
+    grouped = per.withColumn("_g", F.floor(F.col("shard") / group))
+    ahead = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("source", "_g").agg(F.sum("n").alias("n")).withColumn("_ahead", ahead(["source"], "_g")).select("source", "_g", "_ahead")
+    placed = grouped.withColumn("_own", ahead(["source", "_g"], "shard")).join(groups, ["source", "_g"]).join(F.broadcast(quotas), "source")
+    upto = lambda c: F.expr(f"(cast(quota as decimal(19,0)) * cast({c} as decimal(19,0))) div cast(whole as decimal(19,0))")
+    part = placed.withColumn("_from", F.col("_ahead") + F.col("_own")).withColumn("_to", F.col("_from") + F.col("n")).withColumn("q", upto("_to") - upto("_from"))
+    return part.select("source", "shard", F.floor(F.col("q") / F.col("n")).cast("long").alias("rounds"), (F.col("q") % F.col("n")).cast("long").alias("more"))

@@ -202,7 +202,18 @@ def test_pack(spark, small):
             load[r.container_id] = load.get(r.container_id, 0) + r.n_tokens
         assert max(load.values()) <= cap and load.get(None) == 0
     assert {r.overfull for r in p8_packing.fill_report(packed, specs).collect()} == {0}
-    assert p8_packing.pack(docs.limit(0), specs).count() == 0
+    assert p8_packing.pack(docs.limit(0), specs).count() == 0 == p8_packing.pack(docs, specs.limit(0)).count()
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_one_length_of_most_items(spark, monkeypatch, small):
+    """Ranks in several parts and blocks of ranks fill the same containers."""
+    monkeypatch.setattr(p8_packing, "RANKED", 50)
+    monkeypatch.setattr(p8_packing, "BLOCK", 30)
+    docs = spark.range(700).selectExpr("id doc_id", "if(id % 7 = 0, repeat('uno ', cast(id % 40 as int)), 'hola') text")
+    packed = p8_packing.pack(docs, spark.createDataFrame([("s", 16), ("s", 99)], "spec_name string, capacity_tokens long"), small=small)
+    report = p8_packing.fill_report(packed, spark.createDataFrame([("s", 16)], "spec_name string, capacity_tokens long")).first()
+    assert packed.select("doc_id").distinct().count() == 700 and report.overfull == 0 and report.fill > 0.95
 
 
 def test_sainte_lague_against_one_by_one():
@@ -220,6 +231,18 @@ def test_sainte_lague_against_one_by_one():
         assert p9_mixing.sainte_lague(w, caps, seats) == got
 
 
+def test_shard_quotas(spark):
+    random.seed(8)
+    per = [("a", i, random.randrange(1, 40)) for i in range(60)] + [("b", 0, 5)]
+    whole = sum(n for s, _, n in per if s == "a")
+    for group in (1, 7, 4096):
+        got = p9_mixing.shard_quotas(spark.createDataFrame(per, "source string, shard int, n long"), spark.createDataFrame([("a", 777, whole), ("b", 15, 5)], "source string, quota long, whole long"), group).collect()
+        n = {(s, i): k for s, i, k in per}
+        q = {(r.source, r.shard): r.rounds * n[r.source, r.shard] + r.more for r in got}
+        assert sum(v for k, v in q.items() if k[0] == "a") == 777 and q["b", 0] == 15
+        assert all(abs(v - 777 * n[k] / whole) < 1 for k, v in q.items() if k[0] == "a")
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(i, "uno dos tres cuatro " * 10, s, 0) for i, s in enumerate(["a"] * 300 + ["b"] * 60 + ["c"] * 10 + [None] * 5)] + [(900, None, "a", 0)], "doc_id long, text string, source string, copies int")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("gone", 0.1, 4)], "source string, target_share double, max_repeats int")
