@@ -28,7 +28,7 @@ def split_overlap(df: DataFrame, rid: str = "row_no", text: str = "text", split:
     Null and blank texts, and texts under min_words, take no part; a null split counts as outside train.
     """
     role = F.when(F.col(split) == train, 1).otherwise(2)
-    members, links = setjoin.links(df, rid, text, role, text_tokens(df), tau, min_words, across=True, ring=False)
+    members, links = setjoin.links(df, rid, text, role, text_tokens(df), tau, min_words, across=True, ring=False, refine=False)
     same = members.where("rid = cls and roles = 3").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     return members, links.unionByName(same)
 

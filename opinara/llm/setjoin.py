@@ -14,7 +14,7 @@ Hamming distance of the sets is at most (1 - tau) / (1 + tau) * (|x| + |y|).  Th
     same way.  Tokens counted once are not sent.  So that the keys of a record grow with its length and not with a
     power of it, records of PART tokens and more are cut into parts by the tokens' hashes, two to the power that
     their size gives; in some part the records are as similar as they are altogether, and each part sends keys by
-    itself.  A record whose partners may have another number of parts sends keys for both.
+    itself.  A record whose shorter partners may have another number of parts sends keys for both.
 4.  Records that meet at a key are pruned by their sizes, by the places of the token, and by a 128-bit parity image
     of their sets: chains of consecutive segments must keep their cumulative differences within the proportional
     budgets (the pigeonring principle), then the whole image must stay within the distance.
@@ -38,8 +38,8 @@ from opinara.plans.runtime import cut, join_with_hot
 
 BITS, MOST_BITS = 20, 24
 CHUNK = 12
-#: Tokens from which on a record is cut into parts, of half as many tokens each or more.
-PART = 64
+#: Tokens from which on a record is cut into parts, and the least tokens of a part on average.
+PART, LEAST = 128, 32
 TokenMaker = Callable[[], Callable[[object], list[str]]]
 
 
@@ -76,6 +76,12 @@ def _set_hashes(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in both]
 
 
+def _cut(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Each record's tokens as bytes."""
+    raw, ends = flat.tobytes(), 8 * np.cumsum(sizes)
+    return [raw[e - 8 * k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
 def _sketch_rows(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Counters as chunks that hold anything: numbers and compressed counts."""
     import zlib
@@ -90,8 +96,8 @@ def _count(counts: np.ndarray, hashes: np.ndarray) -> None:
     counts[at.astype(np.int64)] += n.astype(np.uint32)
 
 
-def records(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(recs, sketch): recs has rid, rec binary, size, total, role, tokens binary; sketch has the token counters by chunk. One pass, written once."""
+def records(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, bits: int, keep: bool) -> tuple[DataFrame, DataFrame]:
+    """(recs, sketch): recs has rid, rec binary, size, total, role, tokens binary (null unless ``keep``); sketch has the token counters by chunk. One pass, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, h = make(), _Hashes()
@@ -101,8 +107,7 @@ def records(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker,
             flat, sizes, totals = _sets(b.column(1).to_pylist(), tokens, h)
             _count(counts, flat)
             n = b.num_rows
-            raw, ends = flat.tobytes(), 8 * np.cumsum(sizes)
-            held = pa.array([raw[e - 8 * k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+            held = pa.array(_cut(flat, sizes), pa.binary()) if keep else pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_set_hashes(flat, sizes), pa.binary()), pa.array(sizes, pa.int32()), pa.array(totals, pa.int32()), b.column(2), held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         used, blobs = _sketch_rows(counts)
         n = len(used)
@@ -149,7 +154,7 @@ def _mix(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
 
 def _parts(sizes: np.ndarray) -> np.ndarray:
     """Numbers of parts of records of these sizes: powers of two, 1 below PART tokens."""
-    return np.left_shift(1, np.maximum(np.log2(np.maximum(sizes, 1) / (PART / 2) + 1e-12).astype(np.int64), 0))
+    return np.where(sizes < PART, 1, np.left_shift(1, np.log2(np.maximum(sizes, PART) / LEAST + 1e-12).astype(np.int64)))
 
 
 def _images(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -164,8 +169,9 @@ def _keys(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray, marks: np.nda
 
     With ``count``, only the pairs that hot tokens form are returned, for the sketch of pairs.
     """
-    variants = [_parts(np.ceil(tau * sizes - 1e-9).astype(np.int64)), _parts(sizes), _parts(np.floor(sizes / tau + 1e-9).astype(np.int64))]
-    use = [np.ones(len(sizes), bool), variants[1] != variants[0], variants[2] != variants[1]]
+    # of two similar records, the longer one has the shorter one's number of parts as its own or as that of its least partner
+    variants = [_parts(np.ceil(tau * sizes - 1e-9).astype(np.int64)), _parts(sizes)]
+    use = [np.ones(len(sizes), bool), variants[1] != variants[0]]
     starts = np.cumsum(sizes) - sizes
     owner = np.concatenate([np.flatnonzero(u) for u in use])
     parts = np.concatenate([v[u] for v, u in zip(variants, use, strict=True)])
@@ -234,7 +240,7 @@ def _ring(tau: float) -> Column:
     return ok
 
 
-def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, tau: float, min_total: int = 0, across: bool = False, hot: int = 1024, ring: bool = True, few: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, tau: float, min_total: int = 0, across: bool = False, hot: int = 1024, ring: bool = True, few: int = 1_000_000, refine: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the records of df.
 
     rid is a unique long, value what ``make`` turns into tokens, role a bit set (1 or 2; a class has the roles of all
@@ -242,11 +248,13 @@ def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, t
     classes with different token sets that reach tau; with across only those where one class has role 1 and the
     other role 2.  Records with fewer than min_total tokens (repeats counted), and those without any token, are in no
     class.  The copies to leave out when keys are sent go to all tasks if they are at most ``few``, and are joined
-    away otherwise.  Keys that many records send are split between tasks by the adaptive skew join.
+    away otherwise.  Keys that many records send are split between tasks by the adaptive skew join.  With ``refine``
+    the token hashes are written with the records, 8 bytes for each token, and hot pairs are counted and sent in threes;
+    without, the values are turned into tokens again and pairs are sent as they are.
     """
     context = df.sparkSession.sparkContext
     bits = min(MOST_BITS, max(BITS, (max(df.count(), 1) - 1).bit_length()))
-    recs, sketch = records(df, rid, value, role, make, bits)
+    recs, sketch = records(df, rid, value, role, make, bits, refine)
     levels = context.broadcast(counters(sketch, bits))
     recs = recs.where((F.col("size") > 0) & (F.col("total") >= min_total))
     classes = recs.groupBy("rec").agg(F.min("rid").alias("cls"), F.bit_or("role").alias("roles"), F.count(F.lit(1)).alias("n"))
@@ -257,36 +265,42 @@ def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, t
     single = F.coalesce("cls", "rid").alias("cls"), F.coalesce("roles", "role").alias("roles"), F.coalesce("n", F.lit(1).cast("long")).alias("n")
     members = cut(known.select("rid", single[0], "role", single[1], "size", single[2]))
     others = members.where("rid <> cls").select("rid")
+    held = recs.select("rid", "tokens", "role") if refine else df.select(F.col(rid).cast("long").alias("rid"), F.col(value).alias("tokens"), role.cast("int").alias("role"))
     if others.limit(few + 1).count() <= few:
         skip = context.broadcast(np.sort(np.array([r for b in others.toArrow().column(0).chunks for r in b.to_numpy()], np.int64)))
-        sent = recs.select("rid", "tokens", "role")
+        sent = held
     else:
         skip = None
-        sent = recs.select("rid", "tokens").join(members.where("rid = cls").select("rid", F.col("roles").alias("role")), "rid")
+        sent = held.select("rid", "tokens").join(members.where("rid = cls").select("rid", F.col("roles").alias("role")), "rid")
 
-    def sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def sets(b: pa.RecordBatch, tokens: Callable[[object], list[str]], h: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids, roles, tokens one after another and sizes of the records that stand for their classes."""
         if skip is not None and len(skip.value) and b.num_rows:
             ids = b.column(0).to_numpy()
             b = b.filter(pa.array(skip.value[np.minimum(np.searchsorted(skip.value, ids), len(skip.value) - 1)] != ids))
-        held = b.column(1).to_pylist()
-        return b.column(0).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(held), np.uint64), np.array([len(x) // 8 for x in held], np.int64)
+        if refine:
+            held = b.column(1).to_pylist()
+            return b.column(0).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(held), np.uint64), np.array([len(x) // 8 for x in held], np.int64)
+        flat, sizes, totals = _sets(b.column(1).to_pylist(), tokens, h)
+        good = (totals >= min_total) & (sizes > 0)
+        return b.column(0).to_numpy()[good], b.column(2).to_numpy()[good], flat[np.repeat(good, sizes)], sizes[good]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            _, _, flat, sizes = sets(b)
+            _, _, flat, sizes = sets(b, None, None)
             _count(counts, _keys(flat, sizes, levels.value, None, tau, hot, count=True)[0])
         yield pa.RecordBatch.from_arrays(list(_sketch_rows(counts)), names=["chunk", "counts"])
 
     marks = None
-    if levels.value.max(initial=0) > int(_level(np.array([hot]))[0]):
+    if refine and levels.value.max(initial=0) > int(_level(np.array([hot]))[0]):
         pairs = counters(sent.mapInArrow(count, "chunk int, counts binary"), bits)
         marks = context.broadcast(pairs > int(_level(np.array([hot]))[0]))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, h = make(), _Hashes()
         for b in batches:
-            ids, roles, flat, sizes = sets(b)
+            ids, roles, flat, sizes = sets(b, tokens, h)
             # a batch at a time, as long records send many keys
             at = 0
             while at < len(sizes):
@@ -322,13 +336,13 @@ def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, t
         meets &= _ring(tau)
     meets &= apart <= _budget(tau, size)
     found = cut(x.join(y, meets).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
-    return members, _verified(recs, found, tau, few)
+    return members, _verified(held.select("rid", "tokens"), found, None if refine else make, tau, few)
 
 
-def _verified(recs: DataFrame, found: DataFrame, tau: float, few: int) -> DataFrame:
+def _verified(recs: DataFrame, found: DataFrame, make: TokenMaker | None, tau: float, few: int) -> DataFrame:
     """Of the pairs found, those whose whole token sets reach tau."""
     ids = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    words = recs.select("rid", "tokens").join(F.broadcast(ids) if ids.limit(few + 1).count() <= few else ids, "rid", "left_semi")
+    words = recs.join(F.broadcast(ids) if ids.limit(few + 1).count() <= few else ids, "rid", "left_semi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -339,6 +353,13 @@ def _verified(recs: DataFrame, found: DataFrame, tau: float, few: int) -> DataFr
                 keep.append(common >= math.ceil(tau * (len(s) + len(t) - common) - 1e-9))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, h = make(), _Hashes()
+        for b in batches:
+            flat, sizes, _ = _sets(b.column(1).to_pylist(), tokens, h)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_cut(flat, sizes), pa.binary())], names=["rid", "tokens"])
+
+    words = words if make is None else words.mapInArrow(sets, "rid long, tokens binary")
     pairs = (
         found.join(words.select(F.col("rid").alias("a"), F.col("tokens").alias("ta")), "a")
         .join(words.select(F.col("rid").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
