@@ -52,3 +52,9 @@ def token_budget(p99: Column, longest: Column) -> tuple[Column, Column]:
 def md5_uniform(*parts: Column) -> Column:
     """A uniform number in [0, 1) from the first 13 hex digits of a digest, the same in every engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def share_in(values: Column, among: list[str]) -> Column:
+    """Share of an array's values that are among these; 0 for empty and null arrays."""
+    n = F.size(values)
+    return F.when(n > 0, F.size(F.filter(values, lambda v: v.isin(among))) / n).otherwise(0.0)

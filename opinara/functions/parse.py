@@ -222,6 +222,16 @@ def normalize_labels(labels: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def resolved(normalized: Column, raw: Column) -> Column:
+    """The labels that hold: the normalised ones where there are some on record, else the raw ones, else none."""
+    return F.coalesce(normalized, raw, F.create_map().cast("map<string,string>"))
+
+
+def other_aspects(labels: Column) -> Column:
+    """The aspects that a map doesn't name, in the order of the vocabulary."""
+    return F.array_except(F.array(*map(F.lit, ASPECTS)), F.map_keys(F.coalesce(labels, F.create_map().cast("map<string,string>"))))
+
+
 def gold_items_reason(items: Column) -> Column:
     """Why an array of (aspect, polarity, ...) isn't a strict label map: null if it is."""
     aspects = F.transform(items, lambda x: x["aspect"])

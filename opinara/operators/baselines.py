@@ -24,7 +24,7 @@ def ranked(train: DataFrame, test: DataFrame, labels: str, order: str, tops: tup
     constant = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]).cast("map<string,string>")
     table = constant(majority)
     own = F.map_from_entries(F.transform(F.map_keys(F.coalesce(labels, constant({}))), lambda a: F.struct(a, F.coalesce(F.try_element_at(table, a), F.lit("positive")))))
-    made: dict[str, Column] = {"empty": constant({}), "gold_aspects_majority": own}
+    made: dict[str, Column] = {"empty": constant({}), "oracle_aspects_majority_polarity": own}
     for k in tops:
         made[f"top{k}_positive"] = constant(dict.fromkeys(frequent[:k], "positive"))
         made[f"top{k}_majority"] = constant({a: majority[a] for a in frequent[:k]})

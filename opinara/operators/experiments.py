@@ -100,3 +100,23 @@ def middle_and_longest(rows: DataFrame, length: str, key: str) -> DataFrame:
     mid = global_rank(rows.where(F.col(length) == F.lit(middle)), [key], "_place").where(F.col("_place") == place).select(F.lit("middle").alias("which"), key, length)
     most = rows.agg(F.max_by(F.struct(key, length), F.struct(F.col(length), -F.col(key))).alias("x")).where("x is not null").select(F.lit("longest").alias("which"), f"x.{key}", f"x.{length}")
     return mid.unionByName(most)
+
+
+def beside_baseline(runs: DataFrame, baseline: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """runs with baseline, delta and missing: what the baseline row of the same keys has for value, null where there is none.
+
+    baseline has one row for each of the keys, as few as there are configurations.
+    """
+    known = baseline.select(*keys, F.col(value).alias("baseline"), F.lit(True).alias("_known"))
+    joined = runs.join(known, keys, "left")
+    return joined.select(*runs.columns, "baseline", (F.col(value) - F.col("baseline")).alias("delta"), F.col("_known").isNull().alias("missing"))
+
+
+def zipped(first: DataFrame, order: str, second: DataFrame, by: str) -> DataFrame:
+    """Rows of two tables that stand at the same 0-based place of their orders, as many as the shorter one has. Their other columns have different names."""
+    return global_rank(first, [order], "position").join(global_rank(second, [by], "position"), "position").withColumn("position", F.col("position") - 1)
+
+
+def seconds_per_example(rows: DataFrame, seconds: Column, by: str) -> DataFrame:
+    """by, examples, per_example: the time of all examples over their number; null times count as none."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("examples"), F.round(F.sum(F.coalesce(seconds, F.lit(0.0))) / F.count(F.lit(1)), 4).alias("per_example"))

@@ -68,3 +68,8 @@ def common_prefix(rows: DataFrame, a: str, b: str) -> DataFrame:
     eq = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     first = F.array_position(eq, False)
     return rows.withColumn("shared", F.when(first > 0, first - 1).otherwise(F.size(eq)).cast("int"))
+
+
+def entity_prompt(prompt: Column, text: Column) -> Column:
+    """The user message of the entity task: the prompt and the text behind it."""
+    return F.concat(prompt, F.lit("\nTEXT: "), text)

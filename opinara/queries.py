@@ -275,12 +275,12 @@ def q_token_budget(spark, d):
     return rows.select(a.cast("long").alias("from_p99"), b.cast("long").alias("from_max"))
 
 
-_BASE = ["empty", "gold_aspects_majority", "top1_positive", "top1_majority", "top3_positive", "top3_majority", "top5_positive", "top5_majority"]
+_BASE = ["empty", "oracle_aspects_majority_polarity", "top1_positive", "top1_majority", "top3_positive", "top3_majority", "top5_positive", "top5_majority"]
 
 
 @query(f"""{_DS}, tr AS (SELECT * FROM e WHERE split = 'train'), maj AS (SELECT aspect, polarity FROM (SELECT aspect, polarity, row_number() OVER (PARTITION BY aspect ORDER BY count(*) DESC, min(row_no)) r FROM tr GROUP BY 1, 2) WHERE r = 1),
 top AS (SELECT aspect, row_number() OVER (ORDER BY count(*) DESC, min(row_no), aspect) r FROM tr GROUP BY 1), test AS (SELECT row_no FROM dataset WHERE split = 'devel'), g AS (SELECT row_no, aspect, polarity FROM e WHERE split = 'devel'),
-pred AS (SELECT 'gold_aspects_majority' b, row_no, aspect, coalesce(maj.polarity, 'positive') polarity FROM g LEFT JOIN maj USING (aspect)
+pred AS (SELECT 'oracle_aspects_majority_polarity' b, row_no, aspect, coalesce(maj.polarity, 'positive') polarity FROM g LEFT JOIN maj USING (aspect)
 UNION ALL SELECT 'top' || k || '_positive', row_no, aspect, 'positive' FROM test, top, (VALUES (1), (3), (5)) v(k) WHERE r <= k UNION ALL SELECT 'top' || k || '_majority', row_no, aspect, polarity FROM test, top JOIN maj USING (aspect), (VALUES (1), (3), (5)) v(k) WHERE r <= k),
 names AS (SELECT unnest({_BASE}) baseline), n AS (SELECT baseline, row_no, (SELECT 1) one, coalesce(np, 0) n_pred, coalesce(ng, 0) n_gold, coalesce(nk, 0) n_ok FROM names CROSS JOIN test LEFT JOIN (SELECT row_no, count(*) ng FROM g GROUP BY 1) USING (row_no) LEFT JOIN (SELECT b baseline, pred.row_no, count(*) np, count(g.aspect) nk FROM pred LEFT JOIN g ON g.row_no = pred.row_no AND g.aspect = pred.aspect AND g.polarity = pred.polarity GROUP BY 1, 2) USING (baseline, row_no)),
 s AS (SELECT baseline, count(*) examples, sum(n_pred)::BIGINT n_pred, sum(n_gold)::BIGINT n_gold, sum(n_ok)::BIGINT n_ok, round(avg({_M[2]}), 4) f1_macro, round({_U[2]}, 4) f1_micro FROM n GROUP BY 1) SELECT *, row_number() OVER (ORDER BY f1_macro DESC, baseline) AS \"rank\" FROM s""")
@@ -307,9 +307,16 @@ def q_normalize_dedup(spark, d):
     return rows.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query(f"SELECT id, accepted_at FROM synthetic_v1 WHERE {_NORM} IN (SELECT {_NORM} FROM dataset WHERE text IS NOT NULL)")
+_UNTIDY = "SELECT id, accepted_at, text FROM synthetic_v1 UNION ALL SELECT 'copy-' || row_no, received_at, '  ' || replace(text, ' ', '   ') || chr(10) FROM dataset WHERE split <> 'train'"
+
+
+@query(f"SELECT id, accepted_at FROM ({_UNTIDY}) WHERE {_NORM} IN (SELECT {_NORM} FROM dataset WHERE text IS NOT NULL AND split = 'train')")
 def q_exact_duplicates(spark, d):
-    return augment.duplicate_of(_t(spark, d, "synthetic_v1"), _t(spark, d, "dataset"), "text").select("id", "accepted_at")
+    rows = _t(spark, d, "dataset")
+    spaced = F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("   ")), F.lit("\n"))
+    copies = rows.where("split <> 'train'").select(F.concat(F.lit("copy-"), F.col("row_no").cast("string")).alias("id"), F.col("received_at").alias("accepted_at"), spaced.alias("text"))
+    candidates = _t(spark, d, "synthetic_v1").select("id", "accepted_at", "text").unionByName(copies)
+    return augment.duplicate_of(candidates, rows.where("split = 'train'"), "text").select("id", "accepted_at")
 
 
 def _grams(df, key):
@@ -451,14 +458,8 @@ def q_quota_trim(spark, d):
     return augment.within_quota(_t(spark, d, "synthetic_v1"), "bucket", ["accepted_at", "id"]).select("bucket", "id", "accepted_at", "seq")
 
 
-@query("WITH q(bucket, quota) AS (VALUES " + ", ".join(f"('{b}', {q})" for b, q in schema.BUCKET_QUOTAS.items()) + ") SELECT bucket, quota::INT quota, coalesce(have, 0)::BIGINT have, greatest(quota - coalesce(have, 0), 0)::BIGINT missing, ceil(greatest(quota - coalesce(have, 0), 0) * 1.5)::BIGINT plans FROM q LEFT JOIN (SELECT bucket, count(*) have FROM synthetic_v1 WHERE accepted_at < TIMESTAMP '2024-03-01' GROUP BY 1) USING (bucket)")
+@query("WITH q(bucket, quota) AS (VALUES " + ", ".join(f"('{b}', {q})" for b, q in schema.BUCKET_QUOTAS.items()) + ") SELECT bucket, quota::INT quota, coalesce(have, 0)::BIGINT have, greatest(quota - coalesce(have, 0), 0)::BIGINT missing, ceil(greatest(quota - coalesce(have, 0), 0) * 1.5)::BIGINT plans FROM q LEFT JOIN (SELECT bucket, count(*) have FROM synthetic_v1 GROUP BY 1) USING (bucket)")
 def q_plan_shortfall(spark, d):
-    return augment.shortfall(_t(spark, d, "synthetic_v1").where("accepted_at < timestamp '2024-03-01'"), "bucket").withColumn("plans", F.col("plans").cast("long"))
-
-
-@query()
-def q_shortfall_of_all(spark, d):
-    """What all accepted rows leave missing; q_plan_shortfall and its SQL count those before 2024-03-01."""
     return augment.shortfall(_t(spark, d, "synthetic_v1"), "bucket").withColumn("plans", F.col("plans").cast("long"))
 
 
@@ -710,12 +711,57 @@ def q_running_best(spark, d):
     return experiments.running_best(rows, "event_type", "event_id", "value", "second")
 
 
-@query("SELECT user_id name FROM events GROUP BY 1 HAVING count_if(event_type = 'purchase') = 0")
+@query("SELECT user_id * 100 + event_id % 50 name FROM events GROUP BY 1 HAVING count_if(event_type = 'purchase') = 0")
 def q_resume(spark, d):
-    e = _t(spark, d, "events").withColumnRenamed("user_id", "name")
+    e = _t(spark, d, "events").withColumn("name", F.col("user_id") * 100 + F.col("event_id") % 50)
     return experiments.to_do(e.select("name").distinct(), e.where("event_type = 'purchase'").select("name").distinct(), "name")
 
 
+@query("WITH r AS (SELECT event_type, user_id, round(avg(value), 4) score FROM events GROUP BY 1, 2) SELECT r.*, b.score baseline, r.score - b.score delta, b.score IS NULL missing FROM r LEFT JOIN (SELECT * FROM r WHERE user_id = 0 AND event_type <> 'view') b USING (event_type)")
+def q_baseline_lookup(spark, d):
+    runs = _t(spark, d, "events").groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 4).alias("score"))
+    return experiments.beside_baseline(runs, runs.where("user_id = 0 and event_type <> 'view'"), ["event_type"], "score")
+
+
+@query("SELECT position, row_no, doc_id FROM (SELECT row_no, row_number() OVER (ORDER BY row_no) - 1 position FROM dataset) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 position FROM documents) USING (position)")
+def q_zip_join(spark, d):
+    return experiments.zipped(_t(spark, d, "dataset").select("row_no"), "row_no", _t(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query('SELECT "language", count(*) examples, round(sum(coalesce(thinking_metadata.elapsed_sec, 0)) / count(*), 4) per_example FROM thinking_sanity GROUP BY 1')
+def q_seconds_per_example(spark, d):
+    return experiments.seconds_per_example(_t(spark, d, "thinking_sanity"), F.col("thinking_metadata.elapsed_sec"), "language")
+
+
+@query(f'{_RUNS} SELECT *, row_number() OVER (ORDER BY k, f1_micro, name)::INT AS "rank" FROM runs')
+def q_grouped_rank(spark, d):
+    return experiments.ranked(_runs(spark, d), [(F.col("k"), False), (F.col("f1_micro"), False)], "name")
+
+
+@query("SELECT gen_id, e.key aspect, e.value polarity FROM (SELECT gen_id, unnest(map_entries(coalesce(CASE WHEN thinking_metadata.closed_thinking THEN prediction END, gold))) e FROM thinking_sanity)")
+def q_resolved_predictions(spark, d):
+    normalized = F.when(F.col("thinking_metadata.closed_thinking"), F.col("prediction"))
+    return _t(spark, d, "thinking_sanity").select("gen_id", F.explode(parse.resolved(normalized, F.col("gold"))).alias("aspect", "polarity"))
+
+
+_LIST = "[" + ", ".join(f"'{a}'" for a in schema.ASPECTS) + "]"
+
+
+@query(f"SELECT row_no, array_to_string(list_filter({_LIST}, lambda a: NOT coalesce(list_contains(map_keys(gold), a), false)), ',') others FROM dataset")
+def q_other_aspects(spark, d):
+    return _t(spark, d, "dataset").select("row_no", F.array_join(parse.other_aspects(F.col("gold")), ",").alias("others"))
+
+
+@query("SELECT row_no, round(CASE WHEN cardinality(gold) > 0 THEN len(list_filter(map_keys(gold), lambda a: a IN (" + ", ".join(f"'{a}'" for a in schema.HARD_ASPECTS) + ")))::DOUBLE / len(map_keys(gold)) ELSE 0 END, 6) hard FROM dataset")
+def q_hard_bonus(spark, d):
+    return _t(spark, d, "dataset").select("row_no", F.round(arith.share_in(F.map_keys("gold"), schema.HARD_ASPECTS), 6).alias("hard"))
+
+
+@query("SELECT doc_id, 'Name the places.' || chr(10) || 'TEXT: ' || text AS \"user\" FROM documents")
+def q_entity_prompt(spark, d):
+    return _t(spark, d, "documents").select("doc_id", features.entity_prompt(F.lit("Name the places."), F.col("text")).alias("user"))
+
+
 @query("WITH n AS (SELECT count(*) n FROM documents), p AS (SELECT DISTINCT round_even(i * (n - 1) / 36.0, 0)::BIGINT p FROM n, range(0, 37) t(i)) SELECT doc_id, p::INT AS \"position\" FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 p FROM documents) JOIN p USING (p)")
 def q_spaced_sample(spark, d):
     return experiments.spaced(_t(spark, d, "documents"), "doc_id", 0, 37).select("doc_id", F.col("position").cast("int").alias("position"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinara.plans.runtime import global_rank
+
 EXAMPLE = T.StructType([T.StructField("id", T.StringType()), T.StructField("language", T.StringType()), T.StructField("text", T.StringType()), T.StructField("gold", T.MapType(T.StringType(), T.StringType()))])
 PREDICTION = T.StructType([*EXAMPLE.fields, T.StructField("prediction", T.MapType(T.StringType(), T.StringType())), T.StructField("prediction_normalized", T.MapType(T.StringType(), T.StringType())), T.StructField("raw_generation", T.StringType())])
 ENTITIES = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("gold", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
@@ -22,10 +24,14 @@ def resolve(name: str, roots: list[str]) -> str:
 
 
 def dataset(spark: SparkSession, name: str, roots: list[str] | None = None, schema: T.StructType = EXAMPLE) -> DataFrame:
-    """A JSON array of records with their ordinal. A name without suffix is dataset/<name>.json under a root."""
+    """A JSON array of records with their 0-based ordinal. A name without suffix is dataset/<name>.json under a root.
+
+    An array is one value, which one task reads, so its rows stand in their order and are numbered within it.
+    """
     path = resolve(name if Path(name).suffix else f"dataset/{name}.json", roots or ["."])
     rows = spark.read.option("multiLine", True).schema(T.StructType([*schema.fields])).json(path)
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    numbered = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    return global_rank(numbered, ["_part", "_at"], "ordinal").withColumn("ordinal", F.col("ordinal") - 1).drop("_part", "_at")
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -89,10 +95,9 @@ def cached_by_text(df: DataFrame, text: str, cache: str, compute) -> DataFrame:
     spark = df.sparkSession
     keyed = df.withColumn("_hash", F.sha2(text, 256))
     wanted = keyed.select("_hash", text).dropDuplicates(["_hash"])
-    try:
-        known = spark.read.parquet(cache)
-        wanted = wanted.join(known.select("_hash"), "_hash", "left_anti")
-    except Exception:  # noqa: BLE001  there is no cache yet
-        known = None
+    # what can't be read is an error; only a cache that isn't there yet is empty
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        wanted = wanted.join(spark.read.parquet(cache).select("_hash"), "_hash", "left_anti")
     compute(wanted).write.mode("append").parquet(cache)
     return keyed.join(spark.read.parquet(cache), "_hash", "left").drop("_hash")

@@ -33,9 +33,11 @@ def output_name(parts: list[tuple[str, object]]) -> str:
     return "_".join(f"{k}{v}" if k else str(v) for k, v in parts if v is not None)
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown; one of more than ``most`` rows is refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in rows)])
 
