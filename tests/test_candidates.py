@@ -71,7 +71,7 @@ def test_shortfall_counts_all_accepted_rows(spark, tmp_path):
     (full, quota), (short, want) = list(BUCKET_QUOTAS.items())[:2]
     rows = [(full, f"2024-{1 + i % 9}-01") for i in range(quota)] + [(short, "2024-08-01")] * (want - 3)
     spark.createDataFrame(rows, "bucket string, t string").selectExpr("bucket", "cast(t as timestamp) accepted_at").write.parquet(f"{tmp_path}/synthetic_v1.parquet")
-    got = {r.bucket: (r.have, r.missing, r.plans) for r in queries()["q_shortfall_of_all"](spark, str(tmp_path)).collect()}
+    got = {r.bucket: (r.have, r.missing, r.plans) for r in queries()["q_plan_shortfall"](spark, str(tmp_path)).collect()}
     assert got[full] == (quota, 0, 0) and got[short] == (want - 3, 3, 5)
 
 
