@@ -33,6 +33,12 @@ def shape_fit(length_a: Column, length_b: Column, labels_a: Column, labels_b: Co
     return 1 - (F.abs(length_a - length_b) / (length_a + 1.0) + F.abs(labels_a - labels_b) / (labels_a + labels_b + 1.0)) / 2
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """value in units of the last digit, in double, to the nearest one, halves away from zero, as DuckDB rounds; F.round goes by the decimal figures that the double is shown with."""
+    scale = F.lit(10.0**digits)
+    return F.round(value * scale) / scale
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of numeric arrays, in double."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -719,7 +719,7 @@ def q_resume(spark, d):
 
 @query("WITH r AS (SELECT event_type, user_id, round(avg(value), 4) score FROM events GROUP BY 1, 2) SELECT r.*, b.score baseline, r.score - b.score delta, b.score IS NULL missing FROM r LEFT JOIN (SELECT * FROM r WHERE user_id = 0 AND event_type <> 'view') b USING (event_type)")
 def q_baseline_lookup(spark, d):
-    runs = _t(spark, d, "events").groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 4).alias("score"))
+    runs = _t(spark, d, "events").groupBy("event_type", "user_id").agg(arith.rounded(F.avg("value"), 4).alias("score"))
     return experiments.beside_baseline(runs, runs.where("user_id = 0 and event_type <> 'view'"), ["event_type"], "score")
 
 

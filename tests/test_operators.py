@@ -109,3 +109,18 @@ def test_middle_and_longest(spark):
         got = {r.which: (r.k, r.n) for r in middle_and_longest(rows, "n", "k").collect()}
         held = sorted((n, i) for i, n in enumerate(lengths) if n is not None)
         assert got == ({"middle": held[len(held) // 2][::-1], "longest": max(((i, n) for n, i in held), key=lambda x: (x[1], -x[0]))} if held else {})
+
+
+def test_baseline_scores_are_rounded_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from opinara import queries
+
+    # means next to a half of the last digit, from below and on it
+    values = {1: [89.39, 49.97, 112.5, 84.41, 49.25, 48.16, 45.46, 84.67], 2: [50.65, 0.22, 60.23, 4.61, 34.98, 39.56, 63.97, 4.81], 3: [101.69, 4.9, 156.45, 28.61, 61.51, 55.83, 8.36, 61.06], 0: [1.5, -0.00005]}
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame([("click", u, v) for u, vs in values.items() for v in vs], "event_type string, user_id long, value double").coalesce(1).write.parquet(path)
+    got = {r.user_id: (r.score, r.baseline, r.delta) for r in queries.queries()["q_baseline_lookup"](spark, str(tmp_path)).collect()}
+    events = f"(SELECT * FROM '{path}/*.parquet')"
+    want = duckdb.sql(queries.oracle_sql()["q_baseline_lookup"].replace("FROM events", f"FROM {events} events")).fetchall()
+    assert got == {u: (score, base, delta) for _, u, score, base, delta, _ in want} and len(got) == 4
