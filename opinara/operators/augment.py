@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from opinara.functions.arith import md5_uniform, rarity
 from opinara.functions.schema import BUCKET_QUOTAS, MARKUP, PRIORITY_WEIGHTS, TASK_MARKERS
-from opinara.functions.text import contains_any, normalize, word_count
+from opinara.functions.text import contains_any, normalize, word_count, words
+from opinara.operators import similarity
 from opinara.plans.runtime import cut, global_rank
 
 
@@ -205,16 +206,9 @@ def reject_reason_in_order(rows: DataFrame, reference: DataFrame, key: str, othe
     return rows.select(key, reason).join(later, key, "left").select(key, F.coalesce(reason, "_r").alias(reason))
 
 
-def max_similarity(candidates: DataFrame, reference: DataFrame, key: str, grams: str) -> DataFrame:
-    """key, max_sim: the highest Jaccard similarity of each candidate's n-gram set with any reference set.
-
-    Sets that share no n-gram have similarity 0 and are never paired: the rows meet on n-grams, candidates with none get 0. The reference is reduced to its
-    distinct sets first.
-    """
-    c = candidates.select(key, F.size(grams).alias("nc"), F.explode(grams).alias("g"))
-    r = reference.select(F.col(grams).alias("s")).where(F.size("s") > 0).groupBy(F.xxhash64("s").alias("r")).agg(F.first("s").alias("s")).select("r", F.size("s").alias("nr"), F.explode("s").alias("g"))
-    shared = c.join(r, "g").groupBy(key, "nc", "r", "nr").agg(F.count(F.lit(1)).alias("both"))
-    best = shared.groupBy(key).agg(F.max(F.col("both") / (F.col("nc") + F.col("nr") - F.col("both"))).alias("m"))
+def max_similarity(candidates: DataFrame, reference: DataFrame, key: str, text: str) -> DataFrame:
+    """key, max_sim: the highest Jaccard similarity of the set of word 5-grams of each candidate's text with that of any reference text; 0 where they share none."""
+    best = similarity.highest(candidates, reference, key, words(normalize(F.col(text))))
     return candidates.select(key).join(best, key, "left").select(key, F.coalesce("m", F.lit(0.0)).alias("max_sim"))
 
 

@@ -331,16 +331,16 @@ cn AS (SELECT id, count(*) n FROM c GROUP BY 1), rn AS (SELECT id, count(*) n FR
 s AS (SELECT c.id, max(both_ / (cn.n + rn.n - both_)) m FROM (SELECT c.id, r.id rid, count(*)::DOUBLE both_ FROM c JOIN r USING (g) GROUP BY 1, 2) c JOIN cn ON cn.id = c.id JOIN rn ON rn.id = c.rid GROUP BY 1)
 SELECT plan_key, round(coalesce(m, 0), 4) max_sim FROM (SELECT row_number() OVER (ORDER BY id, accepted_at) plan_key FROM synthetic_v1) LEFT JOIN s ON s.id = plan_key""")
 def q_ngram_max_similarity(spark, d):
-    rows = global_rank(_t(spark, d, "synthetic_v1"), ["id", "accepted_at"], "plan_key")
-    found = augment.max_similarity(_grams(rows, "plan_key"), _grams(_t(spark, d, "documents"), "doc_id"), "plan_key", "grams")
+    rows = global_rank(_t(spark, d, "synthetic_v1").select("id", "accepted_at", "text"), ["id", "accepted_at"], "plan_key")
+    found = augment.max_similarity(rows, _t(spark, d, "documents"), "plan_key", "text")
     return found.select("plan_key", F.round("max_sim", 4).alias("max_sim"))
 
 
 @query()
 def q_reference_similarity(spark, d):
     """The reference's comparison, with the train and devel reviews; q_ngram_max_similarity and its SQL take documents."""
-    rows = global_rank(_t(spark, d, "synthetic_v1"), ["id", "accepted_at"], "plan_key")
-    found = augment.max_similarity(_grams(rows, "plan_key"), _grams(_t(spark, d, "dataset").where("split in ('train', 'devel')"), "row_no"), "plan_key", "grams")
+    rows = global_rank(_t(spark, d, "synthetic_v1").select("id", "accepted_at", "text"), ["id", "accepted_at"], "plan_key")
+    found = augment.max_similarity(rows, _t(spark, d, "dataset").where("split in ('train', 'devel')"), "plan_key", "text")
     return found.select("plan_key", F.round("max_sim", 4).alias("max_sim"))
 
 

@@ -83,3 +83,23 @@ def test_acceptance_is_limited_at_062(spark, tmp_path):
     assert 0.3 < _jaccard(sets[0], sets[2]) < 0.62 < _jaccard(sets[0], sets[3])
     got = {r.id: r.accepted for r in queries()["q_greedy_acceptance"](spark, str(tmp_path)).collect()}
     assert got == {"s0": True, "s1": True, "s2": True, "s3": False, "s4": True}
+
+
+def test_highest_similarity_in_blocks(spark, tmp_path, monkeypatch):
+    from opinara.operators import similarity
+
+    # stock sentences that most texts have: pairs that meet aren't written, and blocks of candidates are
+    written, plain = [], similarity._best
+    monkeypatch.setattr(similarity, "BLOCK", 400)
+    monkeypatch.setattr(similarity, "_best", lambda reference, block: written.append(block.num_rows) or plain(reference, block))
+    random.seed(9)
+    word = [f"w{i}" for i in range(40)]
+    stock = [" ".join(random.choice(word) for _ in range(7)) for _ in range(12)]
+    make = lambda: " ".join([*random.sample(stock, random.randrange(4)), *(random.choice(word) for _ in range(random.randrange(12)))])
+    made, docs = [make() for _ in range(80)] + [None, "too short"], [make() for _ in range(90)] + [None, stock[0]]
+    made += made[:5]
+    spark.createDataFrame([(f"s{i:03}", i, t) for i, t in enumerate(made)], "id string, accepted_at int, text string").write.parquet(f"{tmp_path}/synthetic_v1.parquet")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.plan_key: r.max_sim for r in queries()["q_ngram_max_similarity"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(max(_jaccard(_set(t), _set(x)) for x in docs), 4) for i, t in enumerate(made, 1)}
+    assert len(written) > 1 and len(set(got.values())) > 20
