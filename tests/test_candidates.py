@@ -103,3 +103,16 @@ def test_highest_similarity_in_blocks(spark, tmp_path, monkeypatch):
     got = {r.plan_key: r.max_sim for r in queries()["q_ngram_max_similarity"](spark, str(tmp_path)).collect()}
     assert got == {i: round(max(_jaccard(_set(t), _set(x)) for x in docs), 4) for i, t in enumerate(made, 1)}
     assert len(written) > 1 and len(set(got.values())) > 20
+
+
+def test_reference_similarity_writes_no_pairs(spark, tmp_path):
+    # all texts share a stock sentence: the pairs that meet on it, 90,000, stay out of every shuffle and join
+    stock = " we had heard about this place from a friend of ours"
+    refs = [(i, ["train", "devel"][i % 2], f"a{i} b{i} c{i} d{i} e{i}{stock}") for i in range(300)]
+    made = [f"x{i} y{i} z{i}{stock}" for i in range(299)] + [refs[7][2]]
+    spark.createDataFrame(refs, "row_no long, split string, text string").write.parquet(f"{tmp_path}/dataset.parquet")
+    spark.createDataFrame([(f"s{i:03}", i, t) for i, t in enumerate(made)], "id string, accepted_at int, text string").write.parquet(f"{tmp_path}/synthetic_v1.parquet")
+    found = queries()["q_reference_similarity"](spark, str(tmp_path))
+    got = {r.plan_key: r.max_sim for r in found.collect()}
+    assert got == {i: round(max(_jaccard(_set(t), _set(x)) for _, _, x in refs), 4) for i, t in enumerate(made, 1)}
+    assert "Generate explode" not in found._jdf.queryExecution().toString()
