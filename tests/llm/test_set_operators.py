@@ -252,3 +252,15 @@ def test_mix(spark):
     assert abs(r["a"].share - 5 / 9) < 0.03 and abs(r["b"].share - 4 / 9) < 0.03
     assert mixed.groupBy("source").agg({"copies": "max"}).where("source = 'b'").first()[1] <= 2
     assert p9_mixing.mix(docs.limit(0), targets)[0].count() == 0
+
+
+def test_found_records_are_in_no_broadcast_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # a broadcast join would build its hash table of up to ``few`` records on the driver
+    sent, plain = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.columns) or plain(df))
+    df = spark.createDataFrame(list(enumerate(_texts(150, 3))), "k long, t string")
+    found = [{tuple(r) for r in setjoin.links(df, "k", "t", F.lit(3), lambda: str.split, 0.75, few=few, refine=refine)[1].collect()} for few in (0, 10_000) for refine in (True, False)]
+    assert found[0] and all(x == found[0] for x in found)
+    assert ["rid"] not in sent
