@@ -40,6 +40,8 @@ BITS, MOST_BITS = 20, 24
 CHUNK = 12
 #: Tokens from which on a record is cut into parts, and the least tokens of a part on average.
 PART, LEAST = 128, 32
+#: Across roles, a token is hot beyond one in so many records; pairs of key rows that are compared at a time.
+RARE, AT_ONCE = 400, 1 << 19
 TokenMaker = Callable[[], Callable[[object], list[str]]]
 
 
@@ -253,7 +255,10 @@ def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, t
     without, the values are turned into tokens again and pairs are sent as they are.
     """
     context = df.sparkSession.sparkContext
-    bits = min(MOST_BITS, max(BITS, (max(df.count(), 1) - 1).bit_length()))
+    rows = df.count()
+    bits = min(MOST_BITS, max(BITS, (max(rows, 1) - 1).bit_length()))
+    # what is compared at a key is cheap across roles, so the keys of a record stay as few as the table grows
+    hot = max(hot, rows // RARE) if across else hot
     recs, sketch = records(df, rid, value, role, make, bits, refine)
     levels = context.broadcast(counters(sketch, bits))
     recs = recs.where((F.col("size") > 0) & (F.col("total") >= min_total))
@@ -321,6 +326,9 @@ def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, t
     if across and skip is not None:
         # a class has its members' roles: what its copies add is known from the copied classes alone, at most ``few``
         posted = posted.join(F.broadcast(copied.select(F.col("cls").alias("c"), "roles")), F.col("rid") == F.col("c"), "left").select("key", "rid", "b1", "b2", "size", "local", F.coalesce("roles", "role").alias("role"))
+    if across:
+        found = cut(_met(posted, tau, ring).distinct())
+        return members, _verified(held.select("rid", "tokens"), found, None if refine else make, tau, few)
     x, y = posted.alias("x"), posted.alias("y")
     size = F.col("x.size") + F.col("y.size")
     whole = lambda s: F.shiftright(f"{s}.local", 32)
@@ -329,9 +337,6 @@ def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, t
     # some part has its own share of common tokens, and the key is the first of them there
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.least(rest("x"), rest("y")) >= F.ceil((whole("x") + whole("y")) * (tau / (1 + tau)) - 1e-9))
     meets &= F.least("x.size", "y.size") >= F.ceil(size * (tau / (1 + tau)) - 1e-9)
-    if across:
-        has = lambda s, r: F.col(f"{s}.role").bitwiseAND(F.lit(r)) > 0
-        meets &= (has("x", 1) & has("y", 2)) | (has("x", 2) & has("y", 1))
     if ring:
         meets &= _ring(tau)
     meets &= apart <= _budget(tau, size)
@@ -339,6 +344,91 @@ def links(df: DataFrame, rid: str, value: str, role: Column, make: TokenMaker, t
     return members, _verified(held.select("rid", "tokens"), found, None if refine else make, tau, few)
 
 
+def _ring_of(d: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    """As ``_ring``, of the differences of the four segments in the columns of d."""
+    return np.any((d * 4 <= budget[:, None]) & ((d + np.roll(d, -1, axis=1)) * 2 <= budget[:, None]), axis=1)
+
+
+def _meet(rows: list[np.ndarray], tau: float, ring: bool) -> tuple[np.ndarray, np.ndarray]:
+    """a, b: pairs of different records, one of either role, that the rows of whole keys, in order of key and side, leave for comparison.
+
+    Of two records that meet, the one with the shorter part needs its first common token within the first
+    w - ceil(2 tau / (1 + tau) w) + 1 of its own, as the other part has w tokens at least: only such rows look for others.
+    """
+    key, side, rid, b1, b2, size, local = rows
+    part = local >> 32
+    rest = part - (local & 0xFFFFFFFF)
+    total = 2 * int(max(part.max(initial=0), size.max(initial=0))) + 1
+    need = np.ceil(np.arange(total) * (tau / (1 + tau)) - 1e-9).astype(np.int64)
+    budget = np.floor(np.arange(total) * ((1 - tau) / (1 + tau)) + 1e-9).astype(np.int64)
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    ends = np.append(begins[1:], len(key))
+    group = np.repeat(np.arange(len(begins)), ends - begins)
+    # where the sides 1 and 2 begin in each key
+    firsts = [begins + np.bincount(group[side < s], minlength=len(begins)) for s in (1, 2)]
+    at = np.flatnonzero(rest >= need[2 * part])
+    g = group[at]
+    low = np.where(side[at] == 0, firsts[0][g], begins[g])
+    high = np.where(side[at] == 2, firsts[1][g], ends[g])
+    at, low, many = at[high > low], low[high > low], (high - low)[high > low]
+    until, done, out = np.cumsum(many), 0, []
+    while done < len(at):
+        end = max(done + 1, int(np.searchsorted(until, (until[done - 1] if done else 0) + AT_ONCE, "right")))
+        n = many[done:end]
+        x = np.repeat(at[done:end], n)
+        y = np.arange(n.sum()) + np.repeat(low[done:end] - (np.cumsum(n) - n), n)
+        done = end
+        both = need[part[x] + part[y]]
+        ok = (part[x] <= part[y]) & (rest[x] >= both) & (rest[y] >= both)
+        x, y = x[ok], y[ok]
+        sizes = size[x] + size[y]
+        ok = (np.minimum(size[x], size[y]) >= need[sizes]) & (rid[x] != rid[y])
+        x, y, most = x[ok], y[ok], budget[sizes[ok]]
+        words = np.stack([b1[x] ^ b1[y], b2[x] ^ b2[y]], axis=1).view(np.uint64)
+        ok = np.bitwise_count(words).sum(axis=1, dtype=np.int64) <= most
+        if ring:
+            halves = np.stack([words >> np.uint64(32), words & np.uint64(0xFFFFFFFF)], axis=2).reshape(-1, 4)
+            ok &= _ring_of(np.bitwise_count(halves).astype(np.int64), most)
+        out.append((np.minimum(rid[x], rid[y])[ok], np.maximum(rid[x], rid[y])[ok]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _met(posted: DataFrame, tau: float, ring: bool) -> DataFrame:
+    """a < b: records of different roles that meet at a key and aren't pruned, in one pass over the keys in order; a pair may come several times.
+
+    In a self-join, all rows of a key would be held against all; here only rows of the one role with a short prefix
+    are held against those of the other.
+    """
+    names = ["key", "side", "rid", "b1", "b2", "size", "local"]
+    # the records of one role, of both, of the other
+    sided = posted.withColumn("side", F.when(F.col("role") == 1, 0).when(F.col("role") == 3, 1).otherwise(2)).select(*names)
+
+    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = _meet(rows, tau, ring)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [c.to_numpy().astype(np.int64, copy=False) for c in b.columns]
+            held.append(rows)
+            last = rows[0][-1]
+            if held[0][0][0] == last:
+                continue
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            end = int(np.flatnonzero(whole[0] != last)[-1]) + 1
+            held = [[c[end:] for c in whole]]
+            yield pairs([c[:end] for c in whole])
+        if held:
+            yield pairs([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return sided.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "a long, b long")
+
+
 def _numbers(df: DataFrame) -> np.ndarray:
     """The longs of a column, in order."""
     return np.sort(df.toArrow().column(0).to_numpy().astype(np.int64))

@@ -264,3 +264,32 @@ def test_found_records_are_in_no_broadcast_join(spark, monkeypatch):
     found = [{tuple(r) for r in setjoin.links(df, "k", "t", F.lit(3), lambda: str.split, 0.75, few=few, refine=refine)[1].collect()} for few in (0, 10_000) for refine in (True, False)]
     assert found[0] and all(x == found[0] for x in found)
     assert ["rid"] not in sent
+
+
+@pytest.mark.parametrize(("hot", "few", "ring"), [(1, 10_000, False), (4, 0, True), (1000, 10_000, False)])
+def test_links_across_lose_nothing(spark, monkeypatch, hot, few, ring):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(setjoin, "AT_ONCE", 7)
+    texts = _texts(150, hot)
+    random.seed(hot)
+    long = [f"v{i}" for i in range(300)]
+    for _ in range(20):
+        base = random.sample(long, random.choice([63, 127, 130, 250]))
+        texts += [" ".join(base), *(" ".join([w for w in base if random.random() > share] + random.sample(long, 3)) for share in (0.05, 0.12, 0.2))]
+    df = spark.createDataFrame([(i, t, random.choice([1, 2])) for i, t in enumerate(texts)], "k long, t string, r int")
+    members, links = setjoin.links(df, "k", "t", F.col("r"), lambda: str.split, 0.75, across=True, hot=hot, few=few, ring=ring, refine=hot == 4)
+    roles = {r.cls: r.roles for r in members.collect()}
+    want = {(a, b) for a, b in combinations(sorted(roles), 2) if (roles[a] | roles[b]) == 3 and _near(texts[a].split(), texts[b].split(), 0.75)}
+    rows = [(r.a, r.b) for r in links.collect()]
+    assert want and len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_stock_key_makes_no_pairs(spark):
+    """Rows of one key in 40000 records: none has it early enough to look for others, so no pair is formed, and a few that have are held against the other role only."""
+    from pyspark.sql import functions as F
+
+    n = 40_000
+    posted = spark.range(n).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("rid"), F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), F.lit(60).alias("size"),
+                                   F.when(F.col("id") < 2, F.lit(60 << 32)).otherwise(F.lit((60 << 32) | 14)).cast("long").alias("local"), (F.col("id") % 2 + 1).cast("int").alias("role"))
+    assert {tuple(r) for r in setjoin._met(posted, 0.75, False).collect()} == {(0, 1)}
